@@ -63,3 +63,10 @@ def discard(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; the same on driver and executors, where the package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
