@@ -5,9 +5,9 @@ Two collections A and B of m short bands (k minhashes each) give m * m table key
 similarity s meet in some table with probability (1 - (1 - s^k)^m)^2: 0.9999 at 0.75 for k = 2, m = 12.
 
 Equal sets are one class from the start. Within a table key only a star is followed first (each document with the
-smallest); after verification, keys that still hold several components are taken up again, and there every pair across
-components that could reach the threshold is verified. So components are those of all colliding pairs,
-without pairing a group of copies with itself.
+smallest); after verification, clusters of colliding documents that still hold several components are taken up again, and
+there every document outside the largest component is held against the whole cluster, by counting shared shingles
+in an inverted index. So components are those of all colliding pairs, without pairing a group of copies with itself.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .meeting import SENT, bucket_count, meet, send
 from .wordhash import U, Words, mix, runs
 
 K, M, SHINGLE, PERCENT = 2, 12, 5, 75
+#: Documents on each side of a cell in which components are held against each other.
+BLOCK = 1024
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,50 +143,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def _shared_counts(sets: DataFrame) -> DataFrame:
-    """doc_id, shared: how many of its shingles some other set at hand has too."""
-    n = bucket_count(sets.sparkSession)
+def _across(multi: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster, at least one for each document and component it links to.
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                size, end = 0, at
-                while end < batch.num_rows and (end == at or size < 1 << 22):
-                    size += batch.column(1)[end].as_py() * 8
-                    end += 1
-                part = batch.slice(at, end - at)
-                h = np.frombuffer(b"".join(part.column(2).to_pylist()), U)
-                yield send(h, np.repeat(part.column(0).to_numpy(), part.column(1).to_numpy()), n, "any", True)
-                at = end
-
-    return meet(sets.mapInArrow(entries, SENT), "any", True).groupBy("doc_id").agg((F.sum(F.length("h")) / 8).cast("long").alias("shared"))
-
-
-def _across(multi: DataFrame, reps: DataFrame, m: int, percent: int) -> DataFrame:
-    """Pairs of different components that share a table key and could reach the threshold.
-
-    multi: doc_id, component, n, shared. A set with `shared` shingles known elsewhere can have no larger
-    intersection than that, which rules out most pairs without looking at the sets.
+    multi: doc_id, shingles, component, cluster; a cluster holds all documents that table keys connect. Documents outside
+    a cluster's largest component probe all of the cluster. Both sides are dealt into blocks, and each cell of the grid
+    counts shared shingles by an inverted index of its members, so that no pair is ever a row.
     """
-
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = multi.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    of = sizes.groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top")).where("members > top.n and members > 2")
+    of = of.select("cluster", (-F.col("top.c")).alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int").alias("pb"))
+    rows = multi.join(of, "cluster")
+    deal = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probing = rows.where("component <> main").withColumn("j", deal("pb")).withColumn("i", spread("mb"))
+    members = rows.withColumn("i", deal("mb")).withColumn("j", spread("pb"))
+    pick = lambda d, role: d.select("cluster", "i", "j", F.lit(role).alias("role"), "doc_id", "component", "shingles")
+    cells = pick(members, 0).unionByName(pick(probing, 1)).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "role")
+
+    def cell(members: list, probing: list) -> Iterator[pa.RecordBatch]:
+        if not probing:
+            return
+        sets = [np.frombuffer(m[2], U) for m in members]
+        size, component = np.array([len(x) for x in sets]), np.array([m[1] for m in members])
+        h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(h, kind="stable")
+        h, who = h[order], who[order]
+        found = []
+        for doc, own, shingles in probing:
+            x = np.frombuffer(shingles, U)
+            lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(who[at], minlength=len(sets))
+            hit = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (component != own))
+            found += [(doc, members[hit[k]][0]) for k in np.unique(component[hit], return_index=True)[1]]
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = _keys(np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(part.num_rows, -1), m)
-                wide = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(part.column(i).take(wide) for i in (0, 2, 3, 4))], names=["key", "doc_id", "component", "n", "shared"])
+            for cluster, i, j, role, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (cluster, i, j) != at:
+                    yield from cell(*sides)
+                    at, sides = (cluster, i, j), ([], [])
+                sides[role].append(row)
+        yield from cell(*sides)
 
-    able = multi.where(f"100 * shared >= {percent} * n")
-    rows = reps.join(able, "doc_id").select("doc_id", "signature", "component", "n", "shared").mapInArrow(tables, "key long, doc_id long, component long, n long, shared long")
-    rows = materialise(rows, "tables")
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rows = materialise(rows.join(open_keys, "key"), "open")
-    x, y = rows.alias("x"), rows.alias("y")
-    both = F.least("x.shared", "y.shared")
-    could = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & could).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return cells.mapInArrow(probe, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, k: int = K, m: int = M) -> DataFrame:
@@ -209,11 +217,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = materialise(_verified(stars, sets, percent), "verified")
     found = materialise(connected_components(links), "components")
     component = F.coalesce("component", "doc_id").alias("component")
-    multi = sets.select("doc_id", "n").join(_shared_counts(sets), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", component, "n", "shared")
-    rest = _across(materialise(multi, "multi"), reps, m, percent)
-    more = materialise(_verified(rest, sets, percent), "more")
+    clusters = connected_components(stars).withColumnRenamed("component", "cluster")
+    multi = sets.select("doc_id", "shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    more = materialise(_across(multi.select("doc_id", "shingles", component, "cluster"), percent), "more")
     if not more.isEmpty():
         found = materialise(connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
     of_class = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_hash", component)
     out = signed.join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that near_duplicates() keeps, as they are: one document of each group of near copies.
+
+    Rows that repeat an id are kept or dropped together; rows without id stay.
+    """
+    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
