@@ -5,48 +5,41 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-#: Entries a table holds before it starts anew, and the longest chunk it keeps; these bound its memory only.
-TABLE_ENTRIES, LONGEST_KEPT = 200_000, 80
+#: Entries beyond which a table starts anew; this bounds its memory only.
+TABLE_ENTRIES = 400_000
 
 
 class ChunkTable(dict):
-    """chunk -> value, filled for all missing chunks of a text in one call of `work`."""
+    """chunk -> value. The distinct chunks of many texts that are not yet known are worked out in one call."""
 
     def __init__(self, work: Callable[[list[str]], Iterable]):
         super().__init__()
         self.work = work
 
-    def values_of(self, chunks: list[str]) -> list:
-        """The value of each chunk, in order."""
-        try:
-            return list(map(self.__getitem__, chunks))
-        except KeyError:
-            pass
+    def learn(self, chunked: list[list[str]]) -> None:
+        """Make the table hold every chunk of these texts."""
         if len(self) > TABLE_ENTRIES:
             self.clear()
-        missing = list({c for c in chunks if c not in self})
-        found = dict(zip(missing, self.work(missing), strict=True))
-        self.update((c, v) for c, v in found.items() if len(c) <= LONGEST_KEPT)
-        return [self[c] if c in self else found[c] for c in chunks]
+        missing = list(set().union(*chunked).difference(self.keys()))
+        if missing:
+            self.update(zip(missing, self.work(missing), strict=True))
+
+
+def text_slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters; one longer text is taken alone."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
 
 #: White space on which regex engines and Unicode versions differ; texts with it are given to the library whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_NOT_BEFORE_A_WORD = re.compile(r" (?!\S)|^ ")
-_BEFORE_A_WORD = re.compile(r"(?= \S)")
 
 
 def odd_space(text: str) -> bool:
     return _ODD.search(text) is not None
-
-
-def before_spaces(text: str) -> Iterator[str] | list[str]:
-    """The text cut before each space that a word follows; a space that starts a chunk is left out of it, and the first chunk is marked by \\0.
-
-    Byte-level pre-tokenizers start a new token at every such space, so chunks can be encoded apart.
-    """
-    if _NOT_BEFORE_A_WORD.search(text):
-        parts = [p for p in _BEFORE_A_WORD.split(text) if p]
-        return [p[1:] if p[0] == " " and len(p) > 1 and i else "\0" + p for i, p in enumerate(parts)]
-    first, *rest = text.split(" ")
-    return ["\0" + first, *rest]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, text_slices
 from .common import ship
 
 MARK = "▁"
@@ -50,22 +51,30 @@ class Pieces:
     def _work(self, words: list[str]) -> list[tuple[bytes, str]]:
         # a marked word without its first marker: the library adds that itself, but to no empty text
         ids = self.sp.encode(words, num_threads=1)
-        return [(np.array(i, "<u4").tobytes(), d) if w else (self.mark_id, "") for w, i, d in zip(words, ids, self.sp.decode(ids, num_threads=1) if ids else [], strict=True)]
+        return [(array("I", i).tobytes(), d) if w else (self.mark_id, "") for w, i, d in zip(words, ids, self.sp.decode(ids, num_threads=1), strict=True)]
 
-    def both(self, text: str) -> tuple[bytes, str]:
-        """Packed ids with begin and end, and their decoded text."""
+    def _cut(self, text: str) -> list[str] | None:
+        """The marked words of a text, each without its first marker; None if they cannot be taken apart."""
         if not self.apart or MARK in text:
-            ids = self.sp.encode(text)
-            all_ids = [self.sp.bos_id(), *ids, self.sp.eos_id()]
-            return np.array(all_ids, "<u4").tobytes(), self.sp.decode(all_ids)
-        if not text:
-            return self.begin + self.end, ""
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            words = [w[1:] for w in _MARKED.findall(" " + text)]
-        else:
-            words = text.split(" ")
-        found = self.table.values_of(words)
-        return b"".join([self.begin, *[f[0] for f in found], self.end]), " ".join([f[1] for f in found])
+            return None
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return [w[1:] for w in _MARKED.findall(" " + text)]
+        return text.split(" ") if text else []
+
+    def all(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Packed ids with begin and end, and their decoded text, of each text."""
+        for a, b in text_slices(texts):
+            chunked = [self._cut(t) for t in texts[a:b]]
+            self.table.learn([c for c in chunked if c])
+            for text, words in zip(texts[a:b], chunked, strict=True):
+                if words is None:
+                    ids = [self.sp.bos_id(), *self.sp.encode(text), self.sp.eos_id()]
+                    yield array("I", ids).tobytes(), self.sp.decode(ids)
+                elif words:
+                    ids, decoded = zip(*map(self.table.__getitem__, words), strict=True)
+                    yield b"".join((self.begin, *ids, self.end)), " ".join(decoded)
+                else:
+                    yield self.begin + self.end, ""
 
 
 def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -80,7 +89,7 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [pieces.both(t.as_py() or "") for t in part.column(1)]
+                found = list(pieces.all([t or "" for t in part.column(1).to_pylist()]))
                 cols = [part.column(0), pa.array([len(f[0]) // 4 for f in found], pa.int64()), pa.array([hashlib.sha256(f[0]).hexdigest() for f in found]), pa.array([f[1] for f in found], pa.string())]
                 if ids:
                     cols.append(pa.array([np.frombuffer(f[0], "<u4").astype(np.int32) for f in found], pa.list_(pa.int32())))
