@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ship
 from .meeting import SENT, bucket_count, meet, send
@@ -66,22 +67,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     ship(spark)
     cover, n = difference_cover(period), bucket_count(spark)
-    rest = [c for c in df.columns if c not in (id_col, text_col, *ADDED)]
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
-    known = docs.where("doc_id is not null")
+    # the input's columns go through as they are, so that both joins below share one exchange of the texts
+    docs = df.select(*(c for c in df.columns if c not in ADDED))
+    if df.schema[id_col].dataType.simpleString() != "bigint":
+        docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
+    known = docs.where(F.col(id_col).isNotNull())
+    i_id, i_text, i_marks = docs.columns.index(id_col), docs.columns.index(text_col), len(docs.columns)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, _, words, _ in runs(batch, most=4 << 20):
+            for a, _, words, _ in runs(batch, text_col, most=4 << 20):
                 at, h = _anchors(words, window, period, cover)
                 yield send(h, ids[a + words.doc[at]], n, "any", False)
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(3).is_valid())
-            ids, marks = batch.column(0).to_numpy(), batch.column(3)
-            for a, b, words, _ in runs(batch, most=4 << 20):
+            batch = batch.filter(batch.column(i_marks).is_valid())
+            ids, marks = batch.column(i_id).to_numpy(), batch.column(i_marks)
+            for a, b, words, _ in runs(batch, text_col, most=4 << 20):
                 at, h = _anchors(words, window, period, cover)
                 at = at[_marked(words.doc[at], h, marks[a:b].to_pylist(), np.uint32)]
                 near = np.zeros(len(words.hash) + 1, np.int32)
@@ -93,9 +97,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = buffers(batch.column(1))
-            missing = batch.column(1).is_null().to_pylist()
-            marks = batch.column(3)
+            raw, offs = buffers(batch.column(i_text))
+            missing = batch.column(i_text).is_null().to_pylist()
+            marks = batch.column(i_marks)
             for a, b in slices(offs):
                 block, rel = raw[offs[a] : offs[b]].tobytes(), offs[a : b + 1] - offs[a]
                 hit = [i for i in range(b - a) if marks[a + i].is_valid]
@@ -129,12 +133,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         text = b"".join([*kept, text[at:]])
                     out.append((None if missing[a + i] and not joined else text.decode("utf-8"), len(split), n_lost, windows))
                 texts, words_n, lost_n, windows_n = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(texts, pa.string()), batch.column(2)[a:b], pa.array(words_n, pa.int64()), pa.array(lost_n, pa.int64()), pa.array(windows_n, pa.int64())], names=["doc_id", "text", "rest", "n_words", "n_removed", "n_windows"])
-
-    by_doc = lambda replies, name: replies.groupBy("doc_id").agg(F.collect_list("h").alias(name))
-    shared = by_doc(meet(known.select("doc_id", "text").mapInArrow(anchors, SENT), "any", False), "marks")
-    later = by_doc(meet(known.join(shared, "doc_id", "left").select("doc_id", "text", "rest", "marks").mapInArrow(extended, SENT), "later", True), "marks")
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("n_windows", "long")
-    done = known.join(later, "doc_id", "left").unionByName(docs.where("doc_id is null").withColumn("marks", F.lit(None).cast("array<binary>"))).select("doc_id", "text", "rest", "marks").mapInArrow(cut, schema)
-    back = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.col("text"), **{c: F.col("rest").getField(c) for c in rest}}
-    return done.select(*(back[c].alias(c) for c in df.columns if c in back), *ADDED)
+                own = [pa.array(texts, pa.string()) if i == i_text else batch.column(i)[a:b] for i in range(i_marks)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in (words_n, lost_n, windows_n))], names=names)
+
+    names = [*docs.columns, *ADDED]
+    by_doc = lambda replies: replies.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("h").alias("_marks"))
+    marked = lambda replies: known.join(by_doc(replies), F.col(id_col) == F.col("_of"), "left").select(*docs.columns, "_marks")
+    shared = meet(known.select(id_col, text_col).mapInArrow(anchors, SENT), "any", False)
+    later = meet(marked(shared).mapInArrow(extended, SENT), "later", True)
+    lone = docs.where(F.col(id_col).isNull()).withColumn("_marks", F.lit(None).cast("array<binary>"))
+    schema = StructType(list(docs.schema.fields))
+    for c in ADDED:
+        schema = schema.add(c, "long")
+    done = marked(later).unionByName(lone).mapInArrow(cut, schema)
+    return done.withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType)) if docs.schema[id_col].dataType != df.schema[id_col].dataType else done
