@@ -5,10 +5,323 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.score import dice, token_score, word_hit
+from ..operators.highlight import highlight
+from ..operators.rows import complete, count_label, index_rows, situations, strip, tier_counts, union_tiers
+from ..operators.search import PhraseIndex, batch_search, gram_counts, postings, ranked, search
+from ..operators.templates import expand
+from ..streaming.requests import latest_requests
+from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrase corpus: part names as the first language, stand-ins as the second, types as English, brands as situations."""
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("idx"), F.col("p_name").alias("hindi"), F.translate(F.lower("p_name"), T.LOWER, sql.STAND_INS).alias("marathi"), F.col("p_type").alias("english"),
+        F.lit("").alias("roman"), F.col("p_brand").alias("situation"), F.lit("").alias("note"), F.when(size % 5 == 0, "ok").otherwise("").alias("status"), F.lit("").alias("source"),
+        F.when(size % 3 == 0, "curated").when(size % 3 == 1, "built").otherwise("corpus").alias("tier"),
+    )
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_rows(phrases(spark, sf_dir), compose=False)  # this text is composed already
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 9))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return search(keyed(spark, sf_dir), "wiget", limit=200)
+
+
+# --- ranked search: name -> (query, situation, limit) ---
+SEARCHES = {
+    "search_exhaustive": ("red wiget", None, None),
+    "search_one_token": ("wiget", None, None),
+    "search_multi": ("small brass gear", None, None),
+    "search_phrase_bonus": ("red widget", None, None),
+    "search_situation": ("bolt", "Brand#11", None),
+    "search_limit": ("smal blue", None, 25),
+    "search_stopwords": ("I am the red bolt", None, None),
+    "search_all_stop": ("the an", None, None),
+    "search_short_token": ("re", None, None),
+    "search_mixed_length": ("b widget", None, None),
+    "search_devanagari": ("विदगेत", None, None),
+    "search_devanagari_phrase": ("रेद विदगेत", None, None),
+    "search_fuzzy": ("vidgett", None, None),
+    "topk_order": ("steel", None, 200),
+}
+
+
+def _register_searches() -> None:
+    for name, (text, situation, limit) in SEARCHES.items():
+        def run(spark: SparkSession, sf_dir: str, text=text, situation=situation, limit=limit) -> DataFrame:
+            return rounded(search(keyed(spark, sf_dir), text, situation, limit))
+
+        QUERIES[name], ORACLE_SQL[name] = run, sql.search(text, situation, limit)
+
+
+_register_searches()
+
+
+@query(f"WITH phrases AS ({sql.PHRASES}) SELECT {sql.SHOWN}, NULL::DOUBLE AS score FROM phrases ORDER BY idx LIMIT 50")
+def search_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(keyed(spark, sf_dir), "  ", limit=50)
+
+
+@query(f"WITH phrases AS ({sql.PHRASES}) SELECT {sql.SHOWN}, NULL::DOUBLE AS score FROM phrases WHERE false")
+def search_norm_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(keyed(spark, sf_dir), "123 ???")
+
+
+@query(f"WITH {sql.KEYED} SELECT idx, row_number() OVER (ORDER BY score DESC, length(hindi), idx) AS rank FROM ({sql.scored('green nut')}) ORDER BY rank LIMIT 100")
+def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(search(keyed(spark, sf_dir), "green nut", limit=100)).select("idx", F.col("rank").cast("long").alias("rank"))
+
+
+# --- normalisers ---
+@query(f"SELECT doc_id, {sql.fold('text')} AS folded FROM documents")
+def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query(f"SELECT conv_id, turn, {sql.fold_english('text')} AS folded FROM conversations")
+def fold_english_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.fold_english(F.col("text")).alias("folded"))
+
+
+@query(f"WITH phrases AS ({sql.PHRASES}) SELECT idx, {sql.to_roman('nfc_normalize(marathi)')} AS roman, {sql.fold(sql.to_roman('nfc_normalize(marathi)'))} AS folded FROM phrases")
+def to_roman_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    composed = phrases(spark, sf_dir).select("idx", T.nfc("marathi").alias("m"))
+    return composed.select("idx", T.to_roman(F.col("m")).alias("roman"), T.fold(T.to_roman(F.col("m"))).alias("folded"))
+
+
+@query(f"WITH phrases AS ({sql.PHRASES}) SELECT idx, {sql.norm_dev("marathi || ' (' || english || ')।'")} AS cleaned, regexp_matches(marathi, '[ऀ-ॿ]') AS devanagari FROM phrases")
+def norm_dev_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = phrases(spark, sf_dir)
+    return p.select("idx", T.norm_dev(F.concat("marathi", F.lit(" ("), "english", F.lit(")।"))).alias("cleaned"), T.is_devanagari(F.col("marathi")).alias("devanagari"))
+
+
+@query(f"SELECT page_id, {sql.escape_html('html')} AS escaped FROM pages")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+# --- search keys and the trigram index ---
+@query(f"WITH {sql.KEYED} SELECT idx, array_to_string(dev, '/') AS dev, array_to_string(rom, '/') AS rom, array_to_string(list_sort(dev_words), ' ') AS dev_words, array_to_string(list_sort(rom_words), ' ') AS rom_words FROM keyed")
+def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = lambda c, s, how=lambda x: x: F.array_join(how(F.col(c)), s).alias(c)
+    return keyed(spark, sf_dir).select("idx", join("dev", "/"), join("rom", "/"), join("dev_words", " ", F.sort_array), join("rom_words", " ", F.sort_array))
+
+
+@query(f"WITH {sql.KEYED}, {sql.POSTINGS} SELECT side, gram, idx FROM postings")
+def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(keyed(spark, sf_dir))
+
+
+@query(f"WITH {sql.KEYED}, {sql.POSTINGS} SELECT side, gram, df FROM counts")
+def gram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_counts(postings(keyed(spark, sf_dir)))
+
+
+@query(f"SELECT item_id, array_to_string(list_sort({sql.grams('text', 2)}), '/') AS bigrams FROM benchmark")
+def bigram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.sort_array(T.ngrams(F.col("text"), 2)), "/").alias("bigrams"))
+
+
+@query(f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('small wiget')} SELECT token, gram FROM probes")
+def probe_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.query_text import parse_query
+
+    probes = PhraseIndex.build(keyed(spark, sf_dir)).probes(parse_query("small wiget"))
+    rows = ", ".join(f"({i}, '{g}')" for i, p in enumerate(probes) for g in p)
+    return spark.sql(f"select * from values {rows} as t(token, gram)")
+
+
+@query(f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('small wiget')} SELECT idx FROM pool")
+def index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.query_text import parse_query
+
+    return PhraseIndex.build(keyed(spark, sf_dir)).candidates(parse_query("small wiget"))
+
+
+@query(f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('small wiget')} SELECT {sql.SHOWN}, round(score, 9) AS score FROM ({sql.scored('small wiget', '(SELECT * FROM keyed SEMI JOIN pool USING (idx))')})")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(PhraseIndex.build(keyed(spark, sf_dir)).search("small wiget"))
+
+
+_PARITY = f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('tiny bras')}, one AS ({sql.scored('tiny bras')}), two AS ({sql.scored('tiny bras', '(SELECT * FROM keyed SEMI JOIN pool USING (idx))')})"
+
+
+def _parity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    index = PhraseIndex.build(keyed(spark, sf_dir))
+    return tuple(index.search("tiny bras", exhaustive=e).select(F.concat_ws("|", "hindi", "marathi").alias("key"), "idx") for e in (True, False))
+
+
+@query(f"{_PARITY} SELECT hindi || '|' || marathi AS key, idx FROM one ANTI JOIN two USING (hindi, marathi)")
+def parity_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full, indexed = _parity(spark, sf_dir)
+    return full.join(indexed.select("key"), "key", "left_anti")
+
+
+@query(f"{_PARITY} SELECT hindi || '|' || marathi AS key, idx FROM two ANTI JOIN one USING (hindi, marathi)")
+def parity_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full, indexed = _parity(spark, sf_dir)
+    return indexed.join(full.select("key"), "key", "left_anti")
+
+
+# --- scoring ---
+@query(f"SELECT DISTINCT n_name AS name, {sql.dice('lower(n_name)', 'united')} AS score FROM nation")
+def dice_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), dice(F.lower("n_name"), "united").alias("score")).distinct()
+
+
+@query(f"WITH {sql.KEYED} SELECT idx, {sql.token_score('vigets', 'rom', 3)} AS roman, {sql.token_score('विदग', 'dev', 2)} AS devanagari FROM keyed")
+def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = keyed(spark, sf_dir)
+    return k.select("idx", token_score("vigets", F.col("rom"), F.col("rom_words"), 3).alias("roman"), token_score("विदग", F.col("dev"), F.col("dev_words"), 2).alias("devanagari"))
+
+
+@query(f"SELECT p_partkey AS idx, {' OR '.join(sql.word_hit(f"string_split(lower(p_name), ' ')[{i}]", 'widgets') for i in (1, 2))} AS hit FROM part")
+def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split(F.lower("p_name"), " ")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), (word_hit(F.get(parts, F.lit(0)), "widgets") | word_hit(F.get(parts, F.lit(1)), "widgets")).alias("hit"))
+
+
+_MARK = f"CASE WHEN {sql.word_hit(sql.fold(sql.to_roman('w')), 'red')} OR {sql.word_hit(sql.fold(sql.to_roman('w')), 'viget')} THEN '<mark>' || {sql.escape_html('w')} || '</mark>' ELSE {sql.escape_html('w')} END"
+
+
+@query(f"SELECT p_partkey AS idx, array_to_string(list_transform(string_split(p_name || ' & ' || p_type, ' '), lambda w: {_MARK}), ' ') AS html FROM part")
+def highlight_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), highlight(F.concat_ws(" & ", "p_name", "p_type"), "red wiget").alias("html"))
+
+
+# --- templates and tiers ---
+PATTERN_ROWS = [
+    (0, "a1", "{X} bada", "{X} badi", "", "{X} motha", "{X} mothi", "{X} mothe", "the {X} is big, {X}", "direct", "MACHINERY|BUILDING|MACHINERY", ""),
+    (1, "a2", "{X} ko", "", "", "{X}ला", "", "", "to {X}", "dative", "", "n"),
+    (2, "a3", "{X} se", "{X} se", "{X} se", "", "", "", "from {X}", "oblique", "AUTOMOBILE", ""),
+    (3, "a4", "{X} me", "{X} me", "{X} me", "{X} madhe", "", "{X} madhye", "in {X}", "oblique", " AUTOMOBILE |FURNITURE", ""),
+]
+_PATTERN_COLUMNS = "ord, id, hi_m, hi_f, hi_n, mr_m, mr_f, mr_n, en, form, takes, note"
+_PATTERN_VALUES = ", ".join("(" + ", ".join(sql.quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in PATTERN_ROWS)
+
+
+def _nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("ord"), F.lower("c_name").alias("hi"), F.upper("c_name").alias("mr"), F.col("c_name").alias("en"), F.when(key % 3 == 0, "M").when(key % 3 == 1, "f").otherwise("?").alias("hi_gender"),
+        F.when(key % 2 == 0, "m").otherwise("f").alias("mr_gender"), F.when(key % 4 == 0, F.concat(F.upper("c_name"), F.lit("-O"))).otherwise("").alias("mr_oblique"),
+        F.when(key % 5 == 0, "1").otherwise("").alias("honorific"), F.col("c_mktsegment").alias("category"),
+    )
+
+
+def _first(e: str, what: str, to: str) -> str:
+    return f"CASE WHEN instr({e}, {what}) > 0 THEN substr({e}, 1, instr({e}, {what}) - 1) || {to} || substr({e}, instr({e}, {what}) + length({what})) ELSE {e} END"
+
+
+_EXPANDED = f"""
+patterns AS (SELECT *, list_distinct(list_filter([trim(t) FOR t IN string_split(takes, '|')], lambda t: t <> '')) AS kinds FROM (VALUES {_PATTERN_VALUES}) t({_PATTERN_COLUMNS})),
+nouns AS (SELECT c_custkey AS ord, lower(c_name) AS hi, upper(c_name) AS mr, c_name AS en, CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'f' ELSE '?' END AS hi_gender, CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'f' END AS mr_gender,
+          CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) || '-O' ELSE '' END AS mr_oblique, CASE WHEN c_custkey % 5 = 0 THEN '1' ELSE '' END AS honorific, c_mktsegment AS category FROM customer),
+pairs AS (
+  SELECT p.ord * 4294967296 + n.ord AS idx, p.id, p.form, p.note, n.hi, n.mr, n.en AS noun_en, p.en, n.mr_oblique, n.honorific, n.category,
+         coalesce(nullif(CASE lower(hi_gender) WHEN 'm' THEN hi_m WHEN 'f' THEN hi_f ELSE hi_n END, ''), nullif(hi_n, ''), hi_m) AS h,
+         coalesce(nullif(CASE lower(mr_gender) WHEN 'm' THEN mr_m WHEN 'f' THEN mr_f ELSE mr_n END, ''), nullif(mr_n, ''), mr_m) AS m
+  FROM patterns p JOIN nouns n ON len(p.kinds) = 0 OR list_contains(p.kinds, n.category)),
+polite AS (SELECT *, CASE WHEN form = 'dative' AND honorific <> '' THEN {_first("m", "'{X}ला'", "'{X}ना'")} ELSE m END AS m2, CASE WHEN form <> 'direct' AND mr_oblique <> '' THEN mr_oblique ELSE mr END AS stem FROM pairs WHERE h <> '' AND m <> ''),
+built AS (SELECT idx, {_first("h", "'{X}'", "hi")} AS hindi, {_first("m2", "'{X}'", "stem")} AS marathi, replace(en, '{{X}}', noun_en) AS english, '' AS roman, category AS situation, note, 'built' AS status, id AS source, 'built' AS tier FROM polite)"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = spark.sql(f"select * from values {_PATTERN_VALUES} as t({_PATTERN_COLUMNS})")
+    return expand(patterns, _nouns(spark, sf_dir))
+
+
+@query(f"WITH {_EXPANDED} SELECT {sql.SHOWN} FROM built")
+def expand_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)
+
+
+_TIERS = f"""{_EXPANDED},
+curated AS (SELECT p_partkey AS idx, p_name AS hindi, p_type AS english, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS situation FROM part),
+tiers AS (
+  SELECT idx, hindi, '' AS marathi, english, '' AS roman, situation, '' AS note, '' AS status, '' AS source, 'curated' AS tier FROM curated
+  UNION ALL SELECT idx + 281474976710656, * EXCLUDE (idx) FROM built
+  UNION ALL SELECT s_suppkey + 562949953421312, s_name, upper(s_name), '', '', '', '', 'corpus', 'suppliers', 'corpus' FROM supplier)"""
+
+
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    curated = part.select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("hindi"), F.col("p_type").alias("english"), F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_brand")).alias("situation"))
+    corpus = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("hindi"), F.upper("s_name").alias("marathi"), F.lit("suppliers").alias("source"), F.lit("ok").alias("status"))
+    return union_tiers(curated, _built(spark, sf_dir), corpus)
+
+
+@query(f"WITH {_TIERS} SELECT {sql.SHOWN} FROM tiers")
+def tier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiers(spark, sf_dir)
+
+
+@query(f"WITH {_TIERS} SELECT count(*) FILTER (tier = 'curated') AS curated, count(*) FILTER (tier = 'built') AS built, count(*) FILTER (tier = 'corpus') AS corpus FROM tiers")
+def tier_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_counts(_tiers(spark, sf_dir))
+
+
+@query(f"WITH {_TIERS} SELECT count(*) FILTER (tier = 'curated') || ' phrases + ' || count(*) FILTER (tier = 'built') || ' built + ' || count(*) FILTER (tier = 'corpus') || ' from corpora' AS label FROM tiers")
+def tier_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_label(tier_counts(_tiers(spark, sf_dir)))
+
+
+@query(f"WITH {_TIERS} SELECT situation, min(idx) AS first_idx FROM tiers WHERE tier = 'curated' AND situation <> '' GROUP BY situation")
+def situations_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return situations(_tiers(spark, sf_dir))
+
+
+@query(f"WITH phrases AS ({sql.PHRASES}) SELECT {sql.SHOWN} FROM phrases")
+def strip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip(keyed(spark, sf_dir))
+
+
+@query("SELECT r_regionkey::BIGINT AS idx, r_name AS hindi, '' AS marathi, '' AS english, '' AS roman, '' AS situation, '' AS note, '' AS status, '' AS source, '' AS tier FROM region")
+def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complete(table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("idx"), F.col("r_name").alias("hindi")))
+
+
+# --- many queries at once, requests ---
+BATCH = ["red wiget", "bolt", "small brass gear", "नुत", "steel nut", "copper", "greeen", "the big plate", "zzz"]
+_BATCH_SQL = " UNION ALL ".join(f"SELECT {sql.quoted(q)} AS query, idx, score, hindi FROM ({sql.scored(q)})" for q in BATCH)
+
+
+@query(f"WITH {sql.KEYED} SELECT query, idx, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(hindi), idx) AS rank FROM ({_BATCH_SQL})) WHERE rank <= 20")
+def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch_search(keyed(spark, sf_dir), BATCH, 20)
+    return rounded(found).select("query", "idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT user_id AS session, max(event_id) AS seq, max_by(event_type, event_id) AS q, '' AS situation FROM events GROUP BY user_id")
+def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_type").alias("q"), F.lit("").alias("situation"))
+    return latest_requests(events)
