@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space of the query language, as one explicit class for every engine.
 SPACES = "\t\n\x0b\f\r                  　﻿"
@@ -44,7 +45,7 @@ LETTERS = {**CONSONANTS, **VOWELS, **SIGNS, **dict.fromkeys(NASALS, "n"), VISARG
 CODES = {s: chr(0xE000 + i) for i, s in enumerate(sorted({v for v in LETTERS.values() if len(v) > 1}))}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode composition; null stays null."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

@@ -60,7 +60,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEARCHES = {
     "search_exhaustive": ("red wiget", None, None),
     "search_one_token": ("wiget", None, None),
-    "search_multi": ("small brass gear", None, None),
+    "search_multi": ("smal promo gear", None, None),
     "search_phrase_bonus": ("red widget", None, None),
     "search_situation": ("bolt", "Brand#11", None),
     "search_limit": ("smal blue", None, 25),
@@ -71,7 +71,7 @@ SEARCHES = {
     "search_devanagari": ("विदगेत", None, None),
     "search_devanagari_phrase": ("रेद विदगेत", None, None),
     "search_fuzzy": ("vidgett", None, None),
-    "topk_order": ("steel", None, 200),
+    "topk_order": ("larg", None, 200),
 }
 
 
@@ -96,9 +96,9 @@ def search_norm_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(keyed(spark, sf_dir), "123 ???")
 
 
-@query(f"WITH {sql.KEYED} SELECT idx, row_number() OVER (ORDER BY score DESC, length(hindi), idx) AS rank FROM ({sql.scored('green nut')}) ORDER BY rank LIMIT 100")
+@query(f"WITH {sql.KEYED} SELECT idx, row_number() OVER (ORDER BY score DESC, length(hindi), idx) AS rank FROM ({sql.scored('blue anvil')}) ORDER BY rank LIMIT 100")
 def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(search(keyed(spark, sf_dir), "green nut", limit=100)).select("idx", F.col("rank").cast("long").alias("rank"))
+    return ranked(search(keyed(spark, sf_dir), "blue anvil", limit=100)).select("idx", F.col("rank").cast("long").alias("rank"))
 
 
 # --- normalisers ---
@@ -172,12 +172,12 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(PhraseIndex.build(keyed(spark, sf_dir)).search("small wiget"))
 
 
-_PARITY = f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('tiny bras')}, one AS ({sql.scored('tiny bras')}), two AS ({sql.scored('tiny bras', '(SELECT * FROM keyed SEMI JOIN pool USING (idx))')})"
+_PARITY = f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('old anvel')}, one AS ({sql.scored('old anvel')}), two AS ({sql.scored('old anvel', '(SELECT * FROM keyed SEMI JOIN pool USING (idx))')})"
 
 
 def _parity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index = PhraseIndex.build(keyed(spark, sf_dir))
-    return tuple(index.search("tiny bras", exhaustive=e).select(F.concat_ws("|", "hindi", "marathi").alias("key"), "idx") for e in (True, False))
+    return tuple(index.search("old anvel", exhaustive=e).select(F.concat_ws("|", "hindi", "marathi").alias("key"), "idx") for e in (True, False))
 
 
 @query(f"{_PARITY} SELECT hindi || '|' || marathi AS key, idx FROM one ANTI JOIN two USING (hindi, marathi)")
@@ -311,7 +311,7 @@ def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- many queries at once, requests ---
-BATCH = ["red wiget", "bolt", "small brass gear", "नुत", "steel nut", "copper", "greeen", "the big plate", "zzz"]
+BATCH = ["red wiget", "bolt", "smal promo gear", "विदगेत", "cold rod", "economy", "gizmoo", "the big plate", "zzz"]
 _BATCH_SQL = " UNION ALL ".join(f"SELECT {sql.quoted(q)} AS query, idx, score, hindi FROM ({sql.scored(q)})" for q in BATCH)
 
 
