@@ -1,28 +1,40 @@
-"""Scores of words and rows against query tokens, as Column expressions over an indexed row."""
+"""Scores of words and rows against query tokens, as SQL expressions over an indexed row.
+
+Expressions are written as SQL text: a query is one parse for Spark, not a call for every operator. Arguments named `w`,
+`side` and so on are SQL expressions; tokens are literals.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .query_text import Query
-from .query_text import ngrams as grams_of
-from .text import js_length, ngrams
+from .query_text import Query, ngrams
 
 FUZZY = 0.55
 # Tier and status weights.
 WEIGHTS = (("tier", "built", 0.92), ("tier", "corpus", 0.8), ("status", "ok", 1.08))
+#: The search sides of an indexed row, and their number of fields.
+SIDES = {"dev": 2, "rom": 3}
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def js_length(e: str) -> str:
+    """Length in UTF-16 units."""
+    return f"(length({e}) + regexp_count({e}, '[\\\\x{{10000}}-\\\\x{{10FFFF}}]'))"
 
-def dice(word: Column, token: str) -> Column:
+
+def dice(w: str, token: str) -> str:
     """Bigram similarity of a word and a token; 0 for words under three characters and tokens under two bigrams."""
-    own = grams_of(token, 2)
+    own = ngrams(token, 2)
     if len(own) < 2:
-        return F.lit(0.0)
-    theirs = ngrams(word, 2)
-    # the sizes alone bound what two sets can reach, so most words are not intersected
-    value = F.lit(2.0) * F.size(F.array_intersect(theirs, F.array(*map(F.lit, own)))) / (F.size(theirs) + len(own))
-    return F.when(F.length(word) >= 3, value).otherwise(F.lit(0.0))
+        return "0D"
+    shared = " + ".join(f"if(contains({w}, {quoted(g)}), 1, 0)" for g in own)  # so a word's own bigrams are only counted where it shares one
+    theirs = f"size(array_distinct(transform(sequence(1, length({w}) - 1), i -> substring({w}, i, 2))))"
+    return f"(CASE WHEN length({w}) < 3 OR ({shared}) = 0 THEN 0D ELSE 2D * ({shared}) / ({theirs} + {len(own)}) END)"
 
 
 def stem_length(token: str) -> int:
@@ -30,49 +42,35 @@ def stem_length(token: str) -> int:
     return max(3, next(k for k in range(len(token) + 1) if k >= len(token) * 0.7))
 
 
-def _stem(word: Column, token: str) -> Column:
+def stem(w: str, token: str) -> str:
     k = stem_length(token)
-    return F.lit(False) if len(token) < k else F.startswith(word, F.lit(token[:k]))
-
-
-def word_score(word: Column, token: str) -> Column:
-    d = dice(word, token)
-    return (
-        F.when(word == token, F.lit(4.5)).when(F.startswith(word, F.lit(token)), F.lit(3.5)).when(_stem(word, token), F.lit(2.5)).when(d >= FUZZY, F.lit(1.0) + d).otherwise(F.lit(0.0))
-    )
+    return "false" if len(token) < k else f"startswith({w}, {quoted(token[:k])})"
 
 
-def field_score(field: Column, token: str) -> Column:
-    return F.when(field == "", F.lit(0.0)).when(field == token, F.lit(5.0)).when(F.startswith(field, F.lit(token)), F.lit(4.0)).when(F.contains(field, F.lit(token)), F.lit(3.0)).otherwise(F.lit(0.0))
+def word_score(w: str, token: str) -> str:
+    t, d = quoted(token), dice(w, token)
+    return f"CASE WHEN {w} = {t} THEN 4.5D WHEN startswith({w}, {t}) THEN 3.5D WHEN {stem(w, token)} THEN 2.5D WHEN {d} >= {FUZZY}D THEN 1D + {d} ELSE 0D END"
 
 
-def word_hit(word: Column, token: str) -> Column:
+def word_hit(w: str, token: str) -> str:
     """Whether a token is a reason to mark a word."""
-    inside = F.contains(word, F.lit(token)) if len(token) > 3 else F.startswith(word, F.lit(token))
-    return (word != "") & (inside | F.startswith(word, F.lit(token)) | _stem(word, token) | (dice(word, token) >= FUZZY))
+    t = quoted(token)
+    inside = f" OR contains({w}, {t})" if len(token) > 3 else ""
+    return f"({w} <> '' AND (startswith({w}, {t}){inside} OR {stem(w, token)} OR {dice(w, token)} >= {FUZZY}D))"
 
 
-def token_score(token: str, fields: Column, words: Column, n_fields: int) -> Column:
-    """The best rule that joins a token to a row; 0 if none does. Words are looked at only where no field begins with the token's whole."""
-    by_field = F.greatest(*(field_score(F.get(fields, F.lit(i)), token) for i in range(n_fields)))
-    by_word = F.coalesce(F.array_max(F.transform(words, lambda w: word_score(w, token))), F.lit(0.0))
-    return F.when(by_field == 5.0, by_field).otherwise(F.greatest(by_field, by_word))
+def token_score(token: str, side: str) -> Column:
+    """The best rule that joins a token to one side of a row; 0 if none does. Words are looked at only where no field is the token."""
+    t = quoted(token)
+    fields = ", ".join(f"CASE WHEN startswith({side}[{i}], {t}) THEN 4D WHEN contains({side}[{i}], {t}) THEN 3D ELSE 0D END" for i in range(SIDES[side]))
+    return F.expr(f"CASE WHEN array_contains({side}, {t}) THEN 5D ELSE greatest({fields}, coalesce(array_max(transform({side}_words, w -> {word_score('w', token)})), 0D)) END")
 
 
-def row_score(query: Query, scores: list[Column], fields: Column, n_fields: int, tier: Column, status: Column) -> Column:
+def row_score(query: Query, scores: list[str], side: str) -> Column:
     """Mean token score, plus how much of the first field was typed, plus a bonus for the whole phrase, times the weights."""
-    total = scores[0]
-    for s in scores[1:]:
-        total = total + s
-    first = js_length(F.get(fields, F.lit(0)))
-    score = total / F.lit(float(len(scores))) + F.least(F.lit(1.0), F.lit(float(query.typed)) / F.greatest(F.lit(1), first))
+    score = f"({' + '.join(scores)}) / {len(scores)}D + least(1D, {query.typed}D / greatest(1, {js_length(f'{side}[0]')}))"
     if query.several:
-        bonus = None
-        for i in range(n_fields):
-            f = F.get(fields, F.lit(i))
-            hit = (f == query.phrase, F.contains(f, F.lit(query.phrase)))
-            bonus = F.when(hit[0], F.lit(4.0)).when(hit[1], F.lit(2.0)) if bonus is None else bonus.when(hit[0], F.lit(4.0)).when(hit[1], F.lit(2.0))
-        score = score + bonus.otherwise(F.lit(0.0))
-    for name, value, weight in WEIGHTS:
-        score = score * F.when((tier if name == "tier" else status) == value, F.lit(weight)).otherwise(F.lit(1.0))
-    return score
+        p = quoted(query.phrase)
+        score += " + CASE " + " ".join(f"WHEN {side}[{i}] = {p} THEN 4D WHEN contains({side}[{i}], {p}) THEN 2D" for i in range(SIDES[side])) + " ELSE 0D END"
+    weights = " ".join(f"* if({name} = '{value}', {weight}D, 1D)" for name, value, weight in WEIGHTS)
+    return F.expr(f"({score}) {weights}")

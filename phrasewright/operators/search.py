@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.query_text import Query, ngrams, parse_query
-from ..functions.score import row_score, token_score
-from ..functions.text import js_length
+from ..functions.score import SIDES, js_length, row_score, token_score
 from ..functions.text import ngrams as gram_column
 from .rows import KEYS, strip
 
 GRAM, PROBES = 3, 3
-SIDES = {"dev": 2, "rom": 3}
 
 
 def _side(query: Query) -> str:
@@ -25,18 +23,16 @@ def _side(query: Query) -> str:
 def scored(rows: DataFrame, query: Query) -> DataFrame:
     """The rows that every token of a query matches, with their score."""
     side = _side(query)
-    fields, words, n = F.col(side), F.col(f"{side}_words"), SIDES[side]
     names = [f"_s{i}" for i in range(len(query.tokens))]
     d = rows
     for name, token in zip(names, query.tokens, strict=True):
-        d = d.withColumn(name, token_score(token, fields, words, n)).where(F.col(name) > 0)  # a row that fails one token is not scored for the next
-    score = row_score(query, [F.col(c) for c in names], fields, n, F.col("tier"), F.col("status"))
-    return d.withColumn("score", score).drop(*names)
+        d = d.withColumn(name, token_score(token, side)).where(F.col(name) > 0)  # a row that fails one token is not scored for the next
+    return d.withColumn("score", row_score(query, names, side)).drop(*names)
 
 
 def order() -> list[Column]:
     """The total order of results: score, then the shorter phrase, then position."""
-    return [F.desc("score"), js_length(F.col("hindi")), F.col("idx")]
+    return [F.desc("score"), F.expr(js_length("hindi")), F.col("idx")]
 
 
 def search(rows: DataFrame, text: str | None, situation: str | None = None, limit: int | None = None) -> DataFrame:
@@ -140,13 +136,13 @@ def batch_search(rows: DataFrame, queries: list[str], limit: int) -> DataFrame:
     parsed = [(q, parse_query(q)) for q in queries]
     live = [(q, p) for q, p in parsed if p.tokens]
     tokens = sorted({(_side(p), t) for _, p in live for t in p.tokens})
-    d = rows.withColumns({f"_t{i}": token_score(t, F.col(s), F.col(f"{s}_words"), SIDES[s]) for i, (s, t) in enumerate(tokens)})
-    at = {k: F.col(f"_t{i}") for i, k in enumerate(tokens)}
+    d = rows.withColumns({f"_t{i}": token_score(t, s) for i, (s, t) in enumerate(tokens)})
+    at = {k: f"_t{i}" for i, k in enumerate(tokens)}
     found = []
     for q, p in live:
         own = [at[_side(p), t] for t in p.tokens]
-        score = row_score(p, own, F.col(_side(p)), SIDES[_side(p)], F.col("tier"), F.col("status"))
-        found.append(F.when(reduce(lambda a, b: a & b, (c > 0 for c in own)), F.struct(F.lit(q).alias("query"), score.alias("score"))))
+        score = row_score(p, own, _side(p))
+        found.append(F.when(F.expr(" and ".join(f"{c} > 0" for c in own)), F.struct(F.lit(q).alias("query"), score.alias("score"))))
     keep = [c for c in rows.columns if c not in KEYS]
     hits = d.select(*keep, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select(*keep, "x.query", "x.score")
     ranks = F.row_number().over(Window.partitionBy("query").orderBy(*order()))

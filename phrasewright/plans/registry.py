@@ -195,19 +195,19 @@ def parity_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scoring ---
 @query(f"SELECT DISTINCT n_name AS name, {sql.dice('lower(n_name)', 'united')} AS score FROM nation")
 def dice_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), dice(F.lower("n_name"), "united").alias("score")).distinct()
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.expr(dice("lower(n_name)", "united")).alias("score")).distinct()
 
 
 @query(f"WITH {sql.KEYED} SELECT idx, {sql.token_score('vigets', 'rom', 3)} AS roman, {sql.token_score('विदग', 'dev', 2)} AS devanagari FROM keyed")
 def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = keyed(spark, sf_dir)
-    return k.select("idx", token_score("vigets", F.col("rom"), F.col("rom_words"), 3).alias("roman"), token_score("विदग", F.col("dev"), F.col("dev_words"), 2).alias("devanagari"))
+    return k.select("idx", token_score("vigets", "rom").alias("roman"), token_score("विदग", "dev").alias("devanagari"))
 
 
 @query(f"SELECT p_partkey AS idx, {' OR '.join(sql.word_hit(f"string_split(lower(p_name), ' ')[{i}]", 'widgets') for i in (1, 2))} AS hit FROM part")
 def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split(F.lower("p_name"), " ")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), (word_hit(F.get(parts, F.lit(0)), "widgets") | word_hit(F.get(parts, F.lit(1)), "widgets")).alias("hit"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.split(F.lower("p_name"), " ").alias("w"))
+    return parts.select("idx", F.expr(f"{word_hit('w[0]', 'widgets')} OR {word_hit('w[1]', 'widgets')}").alias("hit"))
 
 
 _MARK = f"CASE WHEN {sql.word_hit(sql.fold(sql.to_roman('w')), 'red')} OR {sql.word_hit(sql.fold(sql.to_roman('w')), 'viget')} THEN '<mark>' || {sql.escape_html('w')} || '</mark>' ELSE {sql.escape_html('w')} END"
@@ -215,7 +215,8 @@ _MARK = f"CASE WHEN {sql.word_hit(sql.fold(sql.to_roman('w')), 'red')} OR {sql.w
 
 @query(f"SELECT p_partkey AS idx, array_to_string(list_transform(string_split(p_name || ' & ' || p_type, ' '), lambda w: {_MARK}), ' ') AS html FROM part")
 def highlight_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), highlight(F.concat_ws(" & ", "p_name", "p_type"), "red wiget").alias("html"))
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.concat_ws(" & ", "p_name", "p_type").alias("t"))
+    return highlight(texts, "t", "red wiget", "html").select("idx", "html")
 
 
 # --- templates and tiers ---

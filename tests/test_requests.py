@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from phrasewright.functions.score import word_hit
 from phrasewright.operators.highlight import highlight
 from phrasewright.operators.rows import index_rows
@@ -33,7 +31,7 @@ def test_requests_as_a_stream(spark, tmp_path):
 
 def test_marks(spark):
     df = spark.createDataFrame([("the  red\t<widgets> कितना", "क")], "a string, b string")
-    one = lambda q, c="a": df.select(highlight(F.col(c), q)).first()[0]
+    one = lambda q, c="a": highlight(df, c, q, "h").first()["h"]
     assert one("red wiget") == "the  <mark>red</mark>\t<mark>&lt;widgets&gt;</mark> कितना"
     assert one("the") == "<mark>the</mark>  red\t&lt;widgets&gt; कितना"
     assert one("kitna").endswith("<mark>कितना</mark>") and one("कितना").endswith("<mark>कितना</mark>")
@@ -43,7 +41,7 @@ def test_marks(spark):
 def test_word_hits(spark):
     pairs = [("kitana", "kitna", True), ("", "kit", False), ("station", "stat", True), ("xyabcqwz", "abc", False), ("abcde", "bcde", True), ("red", "read", False)]
     for word, token, want in pairs:
-        assert spark.range(1).select(word_hit(F.lit(word), token)).first()[0] == want, (word, token)
+        assert spark.sql(f"select {word_hit(repr(word), token)}").first()[0] == want, (word, token)
 
 
 def test_search_works_on_any_frame_with_idx(spark):
