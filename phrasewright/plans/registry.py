@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.score import dice, token_score, word_hit
+from ..functions.score import dice, stem, token_score, word_hit
 from ..operators.highlight import highlight
+from ..operators.parity import parity
 from ..operators.rows import complete, count_label, index_rows, situations, strip, tier_counts, union_tiers
 from ..operators.search import PhraseIndex, batch_search, gram_counts, postings, ranked, search
 from ..operators.templates import expand
@@ -192,7 +194,36 @@ def parity_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed.join(full.select("key"), "key", "left_anti")
 
 
+PARITY_TEXTS = ["old anvel", "gizmoo", "smal promo gear", "vidget ring"]
+
+
+def _parity_sql(i: int, text: str) -> str:
+    ranked = lambda name, pool: f"{name}{i} AS (SELECT idx, row_number() OVER (ORDER BY score DESC, length(hindi), idx) AS r FROM ({sql.scored(text, pool)}))"
+    own = sql.candidates(text)
+    for name in ("own", "firsts", "probes", "pool"):
+        own = re.sub(rf"\b{name}\b", f"{name}{i}", own)
+    return f"{own}, {ranked('full_', 'keyed')}, {ranked('part_', f'(SELECT * FROM keyed SEMI JOIN pool{i} USING (idx))')}"
+
+
+_REPORT = " UNION ALL ".join(
+    f"SELECT {sql.quoted(t)} AS query, count(f.r) AS found, count(*) FILTER (p.r IS NULL) AS missed, count(*) FILTER (f.r IS NULL) AS extra, coalesce(max(f.r) FILTER (p.r IS NULL), 0) AS deepest, "
+    f"count(*) FILTER ((f.r <= 20 OR p.r <= 20) AND f.r IS DISTINCT FROM p.r) = 0 AS page_same FROM full_{i} f FULL JOIN part_{i} p ON f.idx = p.idx"
+    for i, t in enumerate(PARITY_TEXTS)
+)
+
+
+@query(f"WITH {sql.KEYED}, {sql.POSTINGS}, {', '.join(_parity_sql(i, t) for i, t in enumerate(PARITY_TEXTS))} {_REPORT}")
+def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity(PhraseIndex.build(keyed(spark, sf_dir)), PARITY_TEXTS, 20)
+
+
 # --- scoring ---
+@query(f"SELECT p_partkey AS idx, {sql.stem('lower(p_name)', 'widgets')} OR {sql.stem('lower(p_name)', 'rings')} AS same_stem FROM part")
+def stem_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.lower("p_name").alias("w"))
+    return names.select("idx", F.expr(f"{stem('w', 'widgets')} OR {stem('w', 'rings')}").alias("same_stem"))
+
+
 @query(f"SELECT DISTINCT n_name AS name, {sql.dice('lower(n_name)', 'united')} AS score FROM nation")
 def dice_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.expr(dice("lower(n_name)", "united")).alias("score")).distinct()

@@ -36,3 +36,22 @@ def made_up_nouns(first: int, until: int, categories: list[str], draw: Draws) ->
 def noun_table(spark: SparkSession, first: int, until: int, categories: list[str], draw: Draws) -> DataFrame:
     schema = "ord int, hi string, mr string, en string, hi_gender string, mr_gender string, mr_oblique string, honorific string, category string"
     return spark.createDataFrame(list(made_up_nouns(first, until, categories, draw)), schema)
+
+
+def corpus_of(base: DataFrame, patterns: DataFrame, nouns: DataFrame, n_nouns: int, draw: Draws) -> DataFrame:
+    """base (phrase rows with idx) and every sentence of the patterns with the nouns, grown to n_nouns by made-up ones.
+
+    Categories are drawn from those the nouns have, in the order they are first seen. The draws go on from the generator's state.
+    """
+    from ..operators.rows import TIER_ROWS, complete
+    from ..operators.templates import expand
+
+    have = nouns.count()
+    seen = nouns.groupBy("category").agg({"ord": "min"}).withColumnRenamed("min(ord)", "first").orderBy("first").collect()  # a handful of categories
+    more = noun_table(base.sparkSession, have, n_nouns, [r["category"] for r in seen], draw) if n_nouns > have else nouns.limit(0)
+    last = nouns.agg({"ord": "max"}).first()[0]
+    more = more.withColumn("ord", (more["ord"] - have + (0 if last is None else last + 1)).cast(nouns.schema["ord"].dataType))  # after all given ones
+    grown = expand(patterns, nouns.unionByName(more.select(*nouns.columns)))
+    built = grown.withColumn("idx", grown["idx"] + 3 * TIER_ROWS)
+    columns = complete(base).columns
+    return complete(base).unionByName(complete(built).select(*columns))

@@ -2,7 +2,7 @@ import pytest
 
 from phrasewright.operators.templates import expand
 from phrasewright.sources.csv import parse_rows, read_sheet, read_sheet_strict
-from phrasewright.sources.synthetic import Draws, made_up_nouns, noun_table
+from phrasewright.sources.synthetic import Draws, corpus_of, made_up_nouns, noun_table
 from phrasewright.sources.tiers import load_tiers
 
 CASES = {
@@ -76,3 +76,10 @@ def test_made_up_nouns_go_on_from_the_seed(spark):
     whole, draw = list(made_up_nouns(0, 20, ["a", "b"], Draws())), Draws()
     assert list(made_up_nouns(0, 8, ["a", "b"], draw)) + list(made_up_nouns(8, 20, ["a", "b"], draw)) == whole
     assert noun_table(spark, 0, 5, ["a"], Draws()).count() == 5
+
+
+def test_a_corpus_grows_by_its_nouns(spark):
+    base = spark.createDataFrame([(1, "क")], "idx long, hindi string")
+    patterns, nouns = spark.createDataFrame(PATTERNS, PATTERN_SCHEMA), spark.createDataFrame(NOUNS, NOUN_SCHEMA)
+    small, large = (corpus_of(base, patterns, nouns, n, Draws()) for n in (3, 30))
+    assert small.count() == 1 + 6 and large.count() > 1 + 6 + 27 and large.select("idx").distinct().count() == large.count()
