@@ -91,3 +91,30 @@ spans AS ({" UNION ALL ".join(parts)})
 SELECT doc_id, {counts}, sha256({write} FILTER (kind IN ({base})), '')) AS base_sha256, {write}, '') AS spans
 FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, doc_id
 """
+
+
+OP10 = f"""
+WITH split AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM split, LATERAL (SELECT unnest(generate_series(1, len(w) - 12)) AS i)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+later AS (SELECT rid, i FROM windows JOIN firsts USING (g) WHERE doc_id > first),
+gone AS (SELECT rid, list_distinct(flatten(list([i + k FOR k IN range(13)]))) AS places, count(*) AS n FROM later GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_windows,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN gone USING (rid)
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP8 = f"""
+WITH RECURSIVE split AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM split, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 4))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS doc_id, a AS other FROM ends UNION SELECT r.doc_id, e.b FROM reached r JOIN ends e ON r.other = e.a),
+components AS (SELECT doc_id, min(other) AS component FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN components c ON c.doc_id = d.doc_id
+"""

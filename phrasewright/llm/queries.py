@@ -92,3 +92,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op9_chat_format"] = oracles.OP9
 ORACLE_SQL["op7_secret_scan"] = oracles.op7()
+ORACLE_SQL["op8_minhash_near_dedup"] = oracles.OP8
+ORACLE_SQL["op10_substring_dedup"] = oracles.OP10
