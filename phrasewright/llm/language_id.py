@@ -9,6 +9,7 @@ is parsed once and its phrase counts are joined back wherever it stands.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ from .common import ship
 SAMPLE_TEXTS, SAMPLE_CHARS, LONGEST_TEXT, MOST_LANGUAGES = 400, 50_000, 20_000, 64
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """A text's runs of letters, in lower case; digits and punctuation say nothing about its language."""
+    return _WORD.findall(text.lower())
+
+
 class SuffixAutomaton:
     """All substrings of the words it was fed, each word between spaces."""
 
@@ -111,13 +120,13 @@ class Model:
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """(language, score) of each text; the score is how much shorter the winner's parse is than the next one's."""
         for a, b in text_slices([t or "" for t in texts]):
-            words = [(t or "").lower().split() for t in texts[a:b]]
+            words = [words_of(t or "") for t in texts[a:b]]
             self.table.learn([w for w in words if w])
             for text, own in zip(texts[a:b], words, strict=True):
                 if not text or not self.langs or not any(map(str.isalpha, text)):
                     yield "und", 0.0
                     continue
-                cost = np.array(list(map(self.table.__getitem__, own))).sum(0) * self.bits / len(text)
+                cost = np.array(list(map(self.table.__getitem__, own))).sum(0) * self.bits / sum(map(len, own))
                 best = int(cost.argmin())
                 rest = np.delete(cost, best)
                 yield self.langs[best], float(np.clip(1 - cost[best] / rest.min(), 0, 1)) if len(rest) else 1.0
@@ -144,7 +153,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     size: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r["h"], r["text"])):
         own = sample.setdefault(r["lang"], {})
-        for w in r["text"].lower().split():
+        for w in words_of(r["text"]):
             if w not in own and size.get(r["lang"], 0) < SAMPLE_CHARS:
                 own[w] = None
                 size[r["lang"]] = size.get(r["lang"], 0) + len(w) + 1
