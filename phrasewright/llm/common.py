@@ -34,10 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one in the warehouse; a fresh local one only if everything runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="phrasewright-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="phrasewright-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_phrasewright"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
