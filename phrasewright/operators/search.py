@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.query_text import Query, ngrams, parse_query
-from ..functions.score import SIDES, js_length, row_score, token_score
+from ..functions.score import SIDES, js_length, quoted, row_score, token_score, word_score
 from ..functions.text import ngrams as gram_column
 from .rows import KEYS, strip
 
@@ -67,6 +67,12 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("idx", each.alias("x")).select("idx", F.col("x.side").alias("side"), F.explode("x.grams").alias("gram")).select("side", "gram", "idx")
 
 
+def word_postings(rows: DataFrame) -> DataFrame:
+    """side, word, idx: the distinct words of each row's fields."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_words").alias("words")) for s in SIDES)))
+    return rows.select("idx", each.alias("x")).select("idx", F.col("x.side").alias("side"), F.explode("x.words").alias("word")).select("side", "word", "idx")
+
+
 def gram_counts(found: DataFrame) -> DataFrame:
     """side, gram, df: how many rows hold each gram."""
     return found.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("df"))
@@ -74,28 +80,32 @@ def gram_counts(found: DataFrame) -> DataFrame:
 
 @dataclass
 class PhraseIndex:
-    """Indexed rows, their postings and gram counts. Written by save(), postings sorted by side and gram, so that a probe
-    reads only the row groups that hold its grams."""
+    """Indexed rows, their trigram postings with gram counts, and their word postings with the vocabulary. Written by save(), postings
+    sorted by side and key, so that a probe reads only the row groups that hold its grams or words."""
 
     rows: DataFrame
     postings: DataFrame
     counts: DataFrame
+    words: DataFrame
+    vocabulary: DataFrame
 
     @classmethod
     def build(cls, rows: DataFrame) -> PhraseIndex:
-        found = postings(rows)
-        return cls(rows, found, gram_counts(found))
+        found, words = postings(rows), word_postings(rows)
+        return cls(rows, found, gram_counts(found), words, words.select("side", "word").distinct())
 
     def save(self, path: str) -> PhraseIndex:
+        spark = self.rows.sparkSession
         self.rows.write.parquet(f"{path}/rows")
-        self.postings.repartitionByRange("side", "gram").sortWithinPartitions("side", "gram").write.parquet(f"{path}/postings")
-        made = self.rows.sparkSession.read.parquet(f"{path}/postings")
-        gram_counts(made).sort("side", "gram").write.parquet(f"{path}/counts")
-        return self.load(self.rows.sparkSession, path)
+        for table, name, key in ((self.postings, "postings", "gram"), (self.words, "words", "word")):
+            table.repartitionByRange("side", key).sortWithinPartitions("side", key).write.parquet(f"{path}/{name}")
+        gram_counts(spark.read.parquet(f"{path}/postings")).sort("side", "gram").write.parquet(f"{path}/counts")
+        spark.read.parquet(f"{path}/words").select("side", "word").distinct().write.parquet(f"{path}/vocabulary")
+        return self.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PhraseIndex:
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("rows", "postings", "counts")))
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("rows", "postings", "counts", "words", "vocabulary")))
 
     def probes(self, query: Query) -> list[list[str]] | None:
         """For each token of three characters or more, its first known gram and the two rarest others; None if no token has three."""
@@ -120,10 +130,26 @@ class PhraseIndex:
         met = [F.max(F.col("gram").isin(p)) if p else F.lit(False) for p in probes]
         return hit.groupBy("idx").agg(reduce(lambda a, b: a & b, met).alias("all")).where("all").select("idx")
 
-    def search(self, text: str | None, situation: str | None = None, limit: int | None = None, exhaustive: bool = False) -> DataFrame:
-        """search(), scoring only candidates unless exhaustive. Fuzzy matches that share no probed trigram are not found."""
+    def complete_candidates(self, query: Query) -> DataFrame:
+        """idx of every row that can score. All rules of a row hold through one of its words, so only distinct words are tried,
+        fuzzy ones included; their postings are then joined."""
+        side = _side(query)
+        hit = [f"if(contains(word, {quoted(t)}) OR {word_score('word', t)} > 0, {1 << i}L, 0L)" for i, t in enumerate(query.tokens)]
+        tried = self.vocabulary.where(F.col("side") == side).select("word", F.expr(" + ".join(hit)).alias("mask")).where("mask > 0")
+        met = self.words.where(F.col("side") == side).join(tried, "word").groupBy("idx").agg(F.bit_or("mask").alias("mask"))
+        return met.where(F.col("mask") == (1 << len(query.tokens)) - 1).select("idx")
+
+    def search(self, text: str | None, situation: str | None = None, limit: int | None = None, exhaustive: bool = False, complete: bool = False) -> DataFrame:
+        """search(), scoring only candidates unless exhaustive.
+
+        By default candidates come from probed trigrams: fuzzy matches that share none are not found. With complete=True they come
+        from the vocabulary, and the answer is the exhaustive one.
+        """
         query = parse_query(text)
-        pool = None if exhaustive or query.blank or not query.tokens else self.candidates(query)
+        if exhaustive or query.blank or not query.tokens or complete and len(query.tokens) > 62:
+            pool = None
+        else:
+            pool = self.complete_candidates(query) if complete else self.candidates(query)
         return search(self.rows if pool is None else self.rows.join(pool, "idx", "left_semi"), text, situation, limit)
 
 

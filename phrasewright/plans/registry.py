@@ -13,7 +13,7 @@ from ..functions.score import dice, stem, token_score, word_hit
 from ..operators.highlight import highlight
 from ..operators.parity import parity
 from ..operators.rows import complete, count_label, index_rows, situations, strip, tier_counts, union_tiers
-from ..operators.search import PhraseIndex, batch_search, gram_counts, postings, ranked, search
+from ..operators.search import PhraseIndex, batch_search, gram_counts, postings, ranked, search, word_postings
 from ..operators.templates import expand
 from ..streaming.requests import latest_requests
 from . import sql
@@ -174,6 +174,16 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(PhraseIndex.build(keyed(spark, sf_dir)).search("small wiget"))
 
 
+@query(sql.search("smal vidgett"))
+def search_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(PhraseIndex.build(keyed(spark, sf_dir)).search("smal vidgett", complete=True))
+
+
+@query(f"WITH {sql.KEYED} SELECT 'rom' AS side, unnest(rom_words) AS word, idx FROM keyed UNION ALL SELECT 'dev', unnest(dev_words), idx FROM keyed")
+def word_postings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_postings(keyed(spark, sf_dir))
+
+
 _PARITY = f"WITH {sql.KEYED}, {sql.POSTINGS}, {sql.candidates('old anvel')}, one AS ({sql.scored('old anvel')}), two AS ({sql.scored('old anvel', '(SELECT * FROM keyed SEMI JOIN pool USING (idx))')})"
 
 

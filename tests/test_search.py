@@ -45,6 +45,11 @@ def test_indexed_search_is_an_ordered_part_of_the_exhaustive_one(keyed, text):
     assert all(x in left for x in part)
 
 
+@pytest.mark.parametrize("text", TEXTS)
+def test_complete_search_is_the_exhaustive_one(keyed, text):
+    assert got(PhraseIndex.build(keyed).search(text, complete=True)) == got(search(keyed, text))
+
+
 @pytest.mark.parametrize("k", [0, 1, 3])
 def test_a_limit_is_the_head_of_the_full_ranking(keyed, k):
     for text in ("ticket", "chai", ""):
