@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-#: Entries beyond which a table starts anew; this bounds its memory only.
-TABLE_ENTRIES = 400_000
+#: Entries beyond which a table starts anew; what was in use shortly before is taken over. This bounds its memory only.
+TABLE_ENTRIES = 250_000
 
 
 class ChunkTable(dict):
@@ -14,15 +14,21 @@ class ChunkTable(dict):
 
     def __init__(self, work: Callable[[list[str]], Iterable]):
         super().__init__()
-        self.work = work
+        self.work, self.old = work, {}
 
     def learn(self, chunked: list[list[str]]) -> None:
         """Make the table hold every chunk of these texts."""
         if len(self) > TABLE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        missing = list(set().union(*chunked).difference(self.keys()))
+        missing = set().union(*chunked).difference(self.keys())
+        if self.old and missing:
+            known = missing & self.old.keys()
+            self.update((c, self.old[c]) for c in known)
+            missing -= known
         if missing:
-            self.update(zip(missing, self.work(missing), strict=True))
+            own = list(missing)
+            self.update(zip(own, self.work(own), strict=True))
 
 
 def text_slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:

@@ -53,17 +53,22 @@ class PrefixCounts:
         self.rank = {m: i for i, m in enumerate(merges)}
         #: Tokens that are their own encoding; no other can occur.
         self.vocab = {t for t in model["vocab"] if self._merge(self._symbols(t)) == [t]}
-        self.longest = max(map(len, self.vocab))
         self.special = [t["content"] for t in spec["added_tokens"]]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         if split["pattern"]["Regex"] != WORD_PATTERN:
             raise ValueError("this tokenizer file cuts words in another way")
         self.letters = byte_letters()
+        self.going = {t: t for t in self.vocab if not t.endswith(self.end)}
+        self.ending = {t[: -len(self.end)]: t for t in self.vocab if t.endswith(self.end) and t != self.end}
+        #: the last three letters of a token -> the longest token that ends so
+        self.going_reach, self.ending_reach = {}, {}
+        for bodies, reach in ((self.going, self.going_reach), (self.ending, self.ending_reach)):
+            for b in bodies:
+                if len(b) > 2:
+                    reach[b[-3:]] = max(len(b), reach.get(b[-3:], 0))
         self.goes: dict[tuple[str, str], bool] = {}
         #: prefix of a word -> (last token, count) while it goes on; one more step gives the count if it ends there
         self.prefixes: dict[str, tuple[str, int]] = {}
-        self.going = {t: t for t in self.vocab if not t.endswith(self.end)}
-        self.ending = {t[: -len(self.end)]: t for t in self.vocab if t.endswith(self.end) and t != self.end}
         self.table = ChunkTable(self._work)
         self.plain_word = re.compile(PLAIN_WORD_PATTERN)
 
@@ -106,10 +111,11 @@ class PrefixCounts:
             known = self.goes[left, token] = self._merge([*self._symbols(left), *self._symbols(token)]) == [left, token]
         return known
 
-    def _step(self, states: list, word: str, j: int, bodies: dict[str, str]) -> tuple[str, int]:
+    def _step(self, states: list, word: str, j: int, bodies: dict[str, str], reach: dict[str, int]) -> tuple[str, int]:
         """The last token of word[:j] and its count, from the states of the shorter prefixes."""
         goes = self.goes
-        for i in range(j - self.longest if j > self.longest else 0, j):
+        first = j - reach.get(word[j - 3 : j], 2) if j > 2 else 0
+        for i in range(first if first > 0 else 0, j):
             token = bodies.get(word[i:j])
             if token is not None:
                 last, count = states[i]
@@ -126,18 +132,18 @@ class PrefixCounts:
         known = self.prefixes
         if len(known) > PREFIX_ENTRIES:
             known = self.prefixes = {}
-        states, going = [("", 0)], self.going
+        states, going, reach = [("", 0)], self.going, self.going_reach
         for j in range(1, len(word)):
             prefix = word[:j]
             state = known.get(prefix)
             if state is None:
-                state = known[prefix] = self._step(states, word, j, going)
+                state = known[prefix] = self._step(states, word, j, going, reach)
             states.append(state)
         return states
 
     def word_count(self, word: str) -> int:
         """Tokens of a word of byte letters that ends there."""
-        return self._step(self._states(word), word, len(word), self.ending)[1]
+        return self._step(self._states(word), word, len(word), self.ending, self.ending_reach)[1]
 
     def _plain(self, text: str) -> bool:
         return not _UNSURE.search(text) and not ("<" in text and any(s in text for s in self.special))
