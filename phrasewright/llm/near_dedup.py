@@ -26,7 +26,7 @@ from .wordhash import U, Words, mix, runs
 
 K, M, SHINGLE, PERCENT = 2, 12, 5, 75
 #: Documents on each side of a cell in which components are held against each other.
-BLOCK = 1024
+BLOCK = 256
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
