@@ -6,12 +6,10 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewright.llm.common import materialise, table, vocabulary
+from phrasewright.llm.common import made_so_far, materialise, release, table, vocabulary
 from phrasewright.llm.near_dedup import keep_first_of_each
 from phrasewright.llm.packing import pack_documents
 from phrasewright.llm.quality_rules import keep_good
@@ -63,6 +61,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder before the next one reads it."""
-    step = lambda docs, stage: materialise(stage[1](spark, docs, sf_dir), "stage")
-    return reduce(step, STAGES, table(spark, sf_dir, "documents"))
+    """All stages over documents, each written to the shared folder before the next one reads it; what a stage wrote on its way is then deleted."""
+    docs, mark = table(spark, sf_dir, "documents"), made_so_far()
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        release(spark, mark, docs)
+    return docs

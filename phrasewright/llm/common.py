@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders written by materialise() and not yet deleted, oldest first.
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,16 +52,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["shared_path"] = path
+    _MADE.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote; only for frames nothing lazy still reads."""
     path = df.__dict__.get("shared_path")
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def made_so_far() -> int:
+    """A mark for release(): how many tables are written now."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables written after a mark, but for `keep`; for when all results that read them are themselves written."""
+    kept = keep.__dict__.get("shared_path")
+    for path in _MADE[since:]:
+        if path != kept:
+            _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

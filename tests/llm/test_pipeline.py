@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from phrasewright.llm.common import materialise
+from phrasewright.llm.common import made_so_far, materialise
 from phrasewright.llm.quality_rules import quality_verdicts
 
 from ..holding import DATA
@@ -41,3 +41,9 @@ def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 < out.count()
+
+
+def test_run_leaves_only_its_result(spark):
+    before = made_so_far()
+    out = corpus_pipeline.run(spark, DATA)
+    assert made_so_far() == before + 1 and out.count() > 0
