@@ -9,10 +9,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..shipping import ship
+
 # The white space of the query language, as one explicit class for every engine.
 SPACES = "\t\n\x0b\f\r                  　﻿"
 SPACE_CLASS = f"[{SPACES}]"
@@ -46,11 +48,16 @@ CODES = {s: chr(0xE000 + i) for i, s in enumerate(sorted({v for v in LETTERS.val
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode composition; null stays null."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def nfc(c: Column | str) -> Column:
+    """Unicode composition; null stays null."""
+    ship(SparkSession.active())
+    return _composed(c)
+
+
 def trim_js(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE_CLASS}+", ""), f"{SPACE_CLASS}+$", "")
 
