@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 
-TABLES, PROBES, CELL = 6, 14, 4096
+TABLES, PROBES, CELL = 6, 18, 4096
 #: Up to so many vectors, every bucket is probed.
 SMALL = 4000
 
