@@ -14,17 +14,26 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, odd_space, text_slices
+from .chunks import TABLE_ENTRIES, ChunkTable, odd_space, text_slices
 from .common import ship
+from .wordhash import hash_runs
+
+#: Kinds of bytes of such characters: white space, letter, digit (each a word of its own), other.
+_KIND = np.full(256, 3, np.uint8)
+_DIGIT = 2
+_KIND[[0x20, *range(9, 14)]], _KIND[[*range(97, 123), *range(128, 256)]], _KIND[48:58] = 0, 1, _DIGIT
 
 #: Fixed value: how tokenizers of this family cut normalised text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for characters below U+0250, whose class, case and normal form do not depend on the Unicode version.
 PLAIN_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+"
+#: Characters beyond white space, printable ASCII without the apostrophe, and Latin letters that stay one in lower case.
+_NOT_SIMPLE = re.compile("[^\t-\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
 #: Entries beyond which a table of words or prefixes starts anew; this bounds its memory only.
 PREFIX_ENTRIES = 600_000
@@ -70,6 +79,8 @@ class PrefixCounts:
         #: prefix of a word -> (last token, count) while it goes on; one more step gives the count if it ends there
         self.prefixes: dict[str, tuple[str, int]] = {}
         self.table = ChunkTable(self._work)
+        #: counts by the hash of a word, and those of the generation before
+        self.by_hash, self.before = {}, {}
         self.plain_word = re.compile(PLAIN_WORD_PATTERN)
 
     @classmethod
@@ -161,18 +172,76 @@ class PrefixCounts:
         letters = self.letters
         return [self.word_count("".join([letters[b] for b in w.encode()])) for w in words]
 
-    def counts(self, texts: list[str]) -> Iterator[int]:
-        """The token count of each text."""
+    def _measured_by_hash(self, texts: list[str], budget: int | None) -> list[tuple[int, int]]:
+        """measure() for texts of simple characters: words are found and hashed on bytes, and each distinct one is looked up once."""
+        parts = [t.lower().encode() for t in texts]
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        edge = np.cumsum([0, *map(len, parts)])
+        kind = _KIND[raw]
+        new = np.ones(len(raw), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        new[edge[:-1][edge[:-1] < len(raw)]] = True
+        inside = kind > 0
+        start = np.flatnonzero(new & inside)
+        if not len(start):
+            return [(0, len(t)) for t in texts]
+        shown = np.cumsum(inside)  # a word's place among the bytes that are not white space
+        own = shown[start] - 1
+        back, hashes = pd.factorize(hash_runs(raw[inside], own))
+        first = np.zeros(len(hashes), np.int64)
+        first[back[::-1]] = np.arange(len(back))[::-1]
+        if len(self.by_hash) > TABLE_ENTRIES:
+            self.before, self.by_hash = self.by_hash, {}
+        known, before, letters = self.by_hash, self.before, self.letters
+        size = np.diff(np.append(own, shown[-1]))
+        found = []
+        for h, i in zip(hashes.tolist(), first.tolist(), strict=True):
+            n = known.get(h)
+            if n is None:
+                n = before.get(h)
+                if n is None:
+                    n = self.word_count("".join([letters[b] for b in raw[start[i] : start[i] + size[i]].tobytes()]))
+                known[h] = n
+            found.append(n)
+        total = np.concatenate(([0], np.cumsum(np.array(found)[back])))  # before each word, over all texts
+        first_word = np.searchsorted(start, edge)
+        out = []
+        for d, text in enumerate(texts):
+            low, high = int(first_word[d]), int(first_word[d + 1])
+            n = int(total[high] - total[low])
+            if budget is None or n <= budget:
+                out.append((n, len(text)))
+                continue
+            # words up to k fit whole; of word k the longest prefix that still does
+            k = int(np.searchsorted(total[low : high + 1], total[low] + budget, "right")) - 1 + low
+            left, at = budget - int(total[k] - total[low]), len(raw[edge[d] : start[k]].tobytes().decode())
+            word = raw[start[k] : start[k] + size[k]].tobytes().decode()
+            fits = max(j for j in range(len(word)) if not j or self.word_count("".join([letters[b] for b in word[:j].encode()])) <= left)
+            out.append((n, at + fits))
+        return out
+
+    def measure(self, texts: list[str], budget: int | None) -> Iterator[tuple[int, int]]:
+        """The token count of each text, and the length of its longest prefix within the budget (None: no bound)."""
         for a, b in text_slices(texts):
-            words = [self._words(t) if self._plain(t) else None for t in texts[a:b]]
+            simple = [not _NOT_SIMPLE.search(t) and "<|" not in t for t in texts[a:b]]
+            by_hash = iter(self._measured_by_hash([t for t, x in zip(texts[a:b], simple, strict=True) if x], budget))
+            words = [None if x else self._words(t) if self._plain(t) else [] for t, x in zip(texts[a:b], simple, strict=True)]
             self.table.learn([w for w in words if w])
             for text, own in zip(texts[a:b], words, strict=True):
-                if own is not None:
-                    yield sum(map(self.table.__getitem__, own))
+                if own is None:
+                    yield next(by_hash)
+                    continue
+                if self._plain(text):
+                    n = sum(map(self.table.__getitem__, own))
                 elif odd_space(text):
-                    yield len(self.tok.encode(text, add_special_tokens=False).ids)
+                    n = len(self.tok.encode(text, add_special_tokens=False).ids)
                 else:
-                    yield sum(map(self._count, text.split()))
+                    n = sum(map(self._count, text.split()))
+                yield n, len(text) if budget is None or n <= budget else self.fitting(text, budget)
+
+    def counts(self, texts: list[str]) -> Iterator[int]:
+        """The token count of each text."""
+        return (n for n, _ in self.measure(texts, None))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """The exact count of text[:i] for every i from 0 to len(text)."""
@@ -217,8 +286,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_i
         counts = PrefixCounts.of(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = list(counts.counts(texts))
-            fit = [len(t) if k <= limit else counts.fitting(t, limit) for t, k in zip(texts, n, strict=True)]
+            n, fit = zip(*counts.measure(texts, limit), strict=True) if texts else ((), ())
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, n)), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 

@@ -60,6 +60,16 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = min(end, n)
 
 
+def hash_runs(raw: np.ndarray, start: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of each run of bytes; runs follow each other without gaps, from `start` to the next one."""
+    if not len(start):
+        return np.zeros(0, U)
+    size = np.diff(np.append(start, len(raw)))
+    place = np.arange(len(raw)) - np.repeat(start, size)
+    part = (_BYTE_LOWER if lower else _BYTE)[raw] * _power(int(size.max()))[place]
+    return mix(np.add.reduceat(part, start) + size.astype(U))
+
+
 class Words:
     """The words of a run of texts: byte starts and ends, the text each is in, and its hash."""
 
@@ -81,13 +91,7 @@ class Words:
         self.count = np.bincount(self.doc, minlength=n) if n else np.zeros(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.count)))  # of each text's words
         size = self.end - self.start
-        at = np.concatenate(([0], np.cumsum(size)))
-        if len(self.start):
-            place = np.arange(at[-1]) - np.repeat(at[:-1], size)
-            part = (_BYTE_LOWER if lower else _BYTE)[raw[inside]] * _power(int(size.max()))[place]
-            self.hash = mix(np.add.reduceat(part, at[:-1]) + size.astype(U))
-        else:
-            self.hash = np.zeros(0, U)
+        self.hash = hash_runs(raw[inside], np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size, lower)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of each run of k words within one text, and its hash."""

@@ -134,6 +134,7 @@ def test_every_prefix_count_is_exact():
         assert list(own.prefix_counts(t)) == want, t
         for budget in (0, 1, 2, 5):
             assert own.fitting(t, budget) == max(i for i, n in enumerate(want) if n <= budget), (t, budget)
+            assert list(own.measure(["x", t, "", t], budget))[1::2] == [(want[-1], own.fitting(t, budget))] * 2
 
 
 def test_counts_odd_rows(spark):
