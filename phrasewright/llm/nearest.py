@@ -3,13 +3,18 @@
 Vectors are rotated by fast pseudo-rotations (random signs and a Hadamard transform, three times) and assigned to the
 nearest signed axis: one bucket of 2 * dimension in each table. A query probes, in each table, the buckets of the axes
 nearest to it; the candidates found there are scored exactly, in double precision, on the original vectors. For largest
-inner products among vectors of different lengths, one more coordinate makes all lengths equal first.
+inner products among vectors of different lengths, members are parted by length: within a band of about equal lengths, the
+nearest directions have the largest inner products.
+
+How many buckets a band's queries probe is measured on the vectors at hand: the true neighbours of some queries are found by
+scoring every row, and each band's probes are widened until they reach RECALL of them, if need be to every bucket.
 
 Buckets are cut into cells of bounded size by counts, members against queries, so a hot bucket becomes many tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 
-TABLES, PROBES, CELL = 6, 18, 4096
-#: Up to so many vectors, every bucket is probed.
+TABLES, PROBES, CELL = 6, 18, 4096  # PROBES: the fewest
+#: Up to so many vectors in a band, every bucket is probed.
 SMALL = 4000
+#: The part of the true neighbours of SAMPLE queries that each band's probes have to reach (0.9 is promised).
+RECALL, SAMPLE = 0.95, 100
+#: Bands of lengths, from the longest down by this ratio; the last one takes all that are shorter.
+BANDS, RATIO = 6, 1.25
+#: Buckets are taken together to so many where all are probed.
+COARSE = 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,12 +83,82 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def _merge(k: int):
+    """Lists of (ids, scores) of each query to its best k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, first = np.unique(np.frombuffer(b"".join(x["ids"] for x in lists), np.int64), return_index=True)
+                scores = np.frombuffer(b"".join(x["scores"] for x in lists))[first]
+                top = _best(ids, scores, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(np.arange(1, len(top) + 1, dtype=np.int32)), pa.array(ids[top]), pa.array(scores[top])], names=["query_id", "rank", "vec_id", "score"])
+
+    return run
+
+
+LISTS, FOUND = "query_id long, ids binary, scores binary", "query_id long, rank int, vec_id long, score double"
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    return lists.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("lists")).mapInArrow(_merge(k), FOUND)
+
+
+def _true(valid: DataFrame, qi: np.ndarray, qx: np.ndarray, k: int) -> DataFrame:
+    """The k best rows of a few queries, by scoring every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.zeros((len(qi), 0), np.int64), np.zeros((len(qi), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                own = np.broadcast_to(part.column(0).to_numpy(), (len(qi), part.num_rows))
+                near = qx @ _rows(part.column(1)).T
+                near[own == qi[:, None]] = -np.inf
+                ids, scores = np.concatenate((ids, own), 1), np.concatenate((scores, near), 1)
+                top = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+        for q, i, s in zip(qi, ids, scores, strict=True):
+            if (s > -np.inf).any():
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([i[s > -np.inf].tobytes()], pa.binary()), pa.array([s[s > -np.inf].tobytes()], pa.binary())], names=["query_id", "ids", "scores"])
+
+    return _merged(valid.select("vec_id", "v").mapInArrow(run, LISTS), k)
+
+
+def widened(ranks: np.ndarray, every: int) -> tuple[int, int]:
+    """(tables, probes) that reach RECALL of some pairs, from the place (pairs x tables) of each member's bucket among its query's
+    probes; (1, every) where so many probes would cost as much as every bucket."""
+    tables = ranks.shape[1]
+    probes = max(PROBES, int(np.sort(ranks.min(1))[math.ceil(RECALL * len(ranks)) - 1]) + 1)
+    return (tables, probes) if tables * probes < every else (1, every)
+
+
+def _plan(valid: DataFrame, index: CrossPolytope, tables: int, k: int, small: int) -> dict[int, tuple[int, int]]:
+    """(tables, probes) of each band. A band without a neighbour of the sampled queries takes the choice made for all bands' pairs."""
+    every = 2 * index.width
+    sizes = {r["band"]: r["n"] for r in valid.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most BANDS rows
+    if max(sizes.values()) <= small:
+        return dict.fromkeys(sizes, (1, every))
+    picked = valid.where("asks").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
+    qi, qx = np.array([r["vec_id"] for r in picked]), np.array([r["v"] for r in picked])
+    pairs = _true(valid, qi, qx, k).join(valid.select("vec_id", "v", "band"), "vec_id").select("query_id", "v", "band").collect()  # at most SAMPLE * k rows
+    asking, x = np.searchsorted(qi[(order := np.argsort(qi))], [r["query_id"] for r in pairs]), np.array([r["v"] for r in pairs])
+    ranks = np.empty((len(pairs), tables), int)
+    for t in range(tables):
+        place = np.argsort(index.probes(qx[order], t, every), axis=1)
+        ranks[:, t] = place[asking, index.buckets(x, t)]
+    band = np.array([r["band"] for r in pairs])
+    return {b: (1, every) if n <= small else widened(ranks[band == b] if (band == b).any() else ranks, every) for b, n in sizes.items()}
+
+
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None, small: int = SMALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that satisfies the SQL condition is_query, the k other rows of largest
     inner product among its candidates, nearest first, ties to the smaller id.
 
     Rows take no part if the id is null or the vector is null, zero, of another dimension than most, or holds a null or
-    non-finite component. Rows that repeat an id count once. A query for which the tables find fewer than k probes every bucket.
+    non-finite component. Rows that repeat an id count once. At most `tables` tables are used; with `probes`, all of them, and so many
+    probes in each instead of what is measured. Bands of up to `small` vectors are searched whole, and so is everything for a
+    query for which the tables find fewer than k.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -85,46 +166,66 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     valid = valid.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     valid = valid.groupBy("vec_id").agg(F.min(F.struct("v", "asks")).alias("r")).select("vec_id", "r.v", "r.asks")
     norm = F.expr("sqrt(aggregate(v, 0d, (a, x) -> a + x * x))")
-    shapes = valid.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high"), F.sum(F.col("asks").cast("long")).alias("q"))
+    shapes = valid.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("high"), F.sum(F.col("asks").cast("long")).alias("q"))
     shape = shapes.orderBy(F.desc("n"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
     if shape is None or not shape["q"]:
-        return spark.createDataFrame([], out)
-    valid = materialise(valid.where(F.size("v") == shape["d"]), "vectors")
-    index = CrossPolytope(shape["d"], tables, shape["high"], shape["low"] >= 0.999 * shape["high"])
+        return spark.createDataFrame([], FOUND)
+    below = F.floor((F.log(F.lit(shape["high"])) - F.log(norm)) / math.log(RATIO))
+    band = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), below)), F.lit(BANDS - 1)).cast("int")
+    valid = materialise(valid.where(F.size("v") == shape["d"]).withColumn("band", band), "vectors")
+    index = CrossPolytope(shape["d"], tables, 1.0, True)
     every = 2 * index.width
-    if shape["n"] <= SMALL:
-        tables, probes = 1, every
-    found = materialise(_search(valid, index, k, tables, min(probes, every)), "found")
-    if probes < every:
+    whole = dict.fromkeys(range(BANDS), (1, every))
+    plan = _plan(valid, index, tables, k, small) if probes is None else dict.fromkeys(range(BANDS), (tables, min(probes, every)))
+    found = materialise(_search(valid, index, k, plan), "found")
+    if any(p < every for _, p in plan.values()):
         short = valid.where("asks").join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")), "vec_id", "left").where(f"coalesce(n, 0) < {min(k, shape['n'] - 1)}").select("vec_id", "v", F.lit(True).alias("asks"))
         if not short.isEmpty():
-            again = _search(valid.select("vec_id", "v", F.lit(False).alias("asks")), index, k, 1, every, short)
+            again = _search(valid.withColumn("asks", F.lit(False)), index, k, whole, short)
             found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found
 
 
-def _search(valid: DataFrame, index: CrossPolytope, k: int, tables: int, probes: int, queries: DataFrame | None = None) -> DataFrame:
+def _search(valid: DataFrame, index: CrossPolytope, k: int, plan: dict[int, tuple[int, int]], queries: DataFrame | None = None) -> DataFrame:
+    """The best k of each query among the candidates of the plan's (tables, probes) in each band."""
     queries = valid.where("asks") if queries is None else queries
+    every, most = 2 * index.width, max(t for t, _ in plan.values())
+    coarse = min(COARSE, every)
+    #: t numbers the tables of all bands
+
+    def asking(x: np.ndarray, ids: pa.Array) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+        for t in range(most):
+            deep = max((p for tables, p in plan.values() if t < tables and p < every), default=0)
+            order = index.probes(x, t, deep) if deep else None
+            for band, (tables, p) in plan.items():
+                if t < tables:
+                    yield ids, band * most + t, order[:, :p] if p < every else np.broadcast_to(np.arange(coarse), (len(x), coarse))
 
-    def keys(asking: bool):
+    def lying(x: np.ndarray, ids: pa.Array, band: np.ndarray) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+        for b in np.unique(band).tolist():
+            own = np.flatnonzero(band == b)
+            tables, p = plan[b]
+            for t in range(tables):
+                bucket = index.buckets(x[own], t)
+                yield ids.take(pa.array(own)), b * most + t, (bucket if p < every else bucket % coarse)[:, None]
+
+    def keys(asked: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
                     x = _rows(part.column(1))
-                    for t in range(tables):
-                        b = index.probes(x, t, probes) if asking else index.buckets(x, t)[:, None]
-                        ids = part.column(0).take(pa.array(np.repeat(np.arange(len(x)), b.shape[1])))
+                    for own, t, b in asking(x, part.column(0)) if asked else lying(x, part.column(0), part.column(2).to_numpy()):
+                        ids = own.take(pa.array(np.repeat(np.arange(len(own)), b.shape[1])))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(b.size, t, np.int32)), pa.array(b.ravel().astype(np.int32))], names=["vec_id", "t", "bucket"])
 
         return run
 
     kind = "vec_id long, t int, bucket int"
-    members = materialise(valid.select("vec_id", "v").mapInArrow(keys(False), kind), "members")
+    members = materialise(valid.select("vec_id", "v", "band").mapInArrow(keys(False), kind), "members")
     asked = materialise(queries.select("vec_id", "v").mapInArrow(keys(True), kind), "asked")
     count = lambda d, n: d.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(n))
-    sizes = F.broadcast(count(members, "mb").join(count(asked, "qb"), ["t", "bucket"]))  # at most tables * 2 * width rows
+    sizes = F.broadcast(count(members, "mb").join(count(asked, "qb"), ["t", "bucket"]))  # at most BANDS * tables * 2 * width rows
     deal = lambda n: F.pmod(F.hash("vec_id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = members.join(sizes, ["t", "bucket"]).withColumn("i", deal("mb")).withColumn("j", spread("qb")).withColumn("role", F.lit(0))
@@ -161,13 +262,4 @@ def _search(valid: DataFrame, index: CrossPolytope, k: int, tables: int, probes:
                     sides[key[a, 4]].append((ids[a:b], x[a:b]))
         yield from cell(sides)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for query, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, first = np.unique(np.frombuffer(b"".join(x["ids"] for x in lists), np.int64), return_index=True)
-                scores = np.frombuffer(b"".join(x["scores"] for x in lists))[first]
-                top = _best(ids, scores, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(np.arange(1, len(top) + 1, dtype=np.int32)), pa.array(ids[top]), pa.array(scores[top])], names=["query_id", "rank", "vec_id", "score"])
-
-    lists = cells.mapInArrow(score, "query_id long, ids binary, scores binary")
-    return lists.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("lists")).mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    return _merged(cells.mapInArrow(score, LISTS), k)

@@ -171,6 +171,30 @@ def test_recall_through_the_tables(spark, scale):
     assert np.mean([len(set(exact(x, np.arange(6000), q, 20)) & found[q]) / 20 for q in range(0, 6000, 100)]) >= 0.9
 
 
+def unit(n, d, clusters=0):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(n, d)) + (2.0 * r.normal(size=(clusters, d))[r.integers(0, clusters, n)] if clusters else 0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(spark, x, every=100, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for row in nearest(df, f"vec_id % {every} = 0", **how).collect():
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    return np.mean([len(set(exact(x, np.arange(len(x)), q, 20)) & found[q]) / 20 for q in range(0, len(x), every)])
+
+
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal"])
+def test_recall_with_uneven_lengths(spark, lengths):
+    x = unit(6000, 64)
+    if lengths == "outlier":
+        x[7] *= 3
+    else:
+        x *= np.exp(0.5 * np.random.default_rng(8).normal(size=(6000, 1)))
+    assert recall(spark, x, small=0) >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (None, [1.0, 0.0]), (8, [1.0]), (2, [1.0, 0.0]), (40, None), (60, [])]
