@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,10 @@ _NOT_SIMPLE = re.compile("[^\t-\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
 #: Entries beyond which a table of words or prefixes starts anew; this bounds its memory only.
 PREFIX_ENTRIES = 600_000
+#: Letters beyond which a word's prefixes are not shared with other words, but for those of the long word before it.
+LONG_WORD = 256
+#: Runs between white space on which all agree; nothing in one changes how another is cut.
+_CHUNK = re.compile("[^\t-\r ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,6 +51,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def stands_alone(c: str) -> bool:
+    """Whether a character's normal form does not depend on those before it, nor theirs on it."""
+    kind = unicodedata.category(c)
+    if kind[0] in "MZ" or kind in ("Cc", "Cn", "Cs") or odd_space(c) or "\u1160" <= c <= "\u11ff":
+        return False
+    return not unicodedata.combining(c) and unicodedata.normalize("NFC", c) == c
+
+
 class PrefixCounts:
     """Token counts of every prefix under one tokenizer file."""
 
@@ -78,6 +91,11 @@ class PrefixCounts:
         self.goes: dict[tuple[str, str], bool] = {}
         #: prefix of a word -> (last token, count) while it goes on; one more step gives the count if it ends there
         self.prefixes: dict[str, tuple[str, int]] = {}
+        #: the last long word and its states
+        self.long: tuple[str, list] = ("", [("", 0)])
+        self.any_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        #: whether a character stands alone; the library's normal form of a short run
+        self.alone, self.normal = {}, {}
         self.table = ChunkTable(self._work)
         #: counts by the hash of a word, and those of the generation before
         self.by_hash, self.before = {}, {}
@@ -140,6 +158,8 @@ class PrefixCounts:
 
     def _states(self, word: str) -> list[tuple[str, int]]:
         """(last token, count) of each prefix of a word that goes on; words share the states of shared prefixes."""
+        if len(word) > LONG_WORD:
+            return self._long_states(word)
         known = self.prefixes
         if len(known) > PREFIX_ENTRIES:
             known = self.prefixes = {}
@@ -152,6 +172,23 @@ class PrefixCounts:
             states.append(state)
         return states
 
+    def _long_states(self, word: str) -> list[tuple[str, int]]:
+        before, states = self.long
+        low, high = 0, min(len(word), len(before))  # the prefix they share is found by halving
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if before.startswith(word[:mid]) else (low, mid - 1)
+        states = states[: min(low + 1, len(word))]
+        for j in range(len(states), len(word)):
+            states.append(self._step(states, word, j, self.going, self.going_reach))
+        self.long = word, states
+        return states
+
+    def _ended(self, word: str, at: list[int]) -> list[int]:
+        """Tokens of word[:j] ended there, for each j."""
+        states = self._states(word)
+        return [self._step(states, word, j, self.ending, self.ending_reach)[1] for j in at]
+
     def word_count(self, word: str) -> int:
         """Tokens of a word of byte letters that ends there."""
         return self._step(self._states(word), word, len(word), self.ending, self.ending_reach)[1]
@@ -216,7 +253,8 @@ class PrefixCounts:
             k = int(np.searchsorted(total[low : high + 1], total[low] + budget, "right")) - 1 + low
             left, at = budget - int(total[k] - total[low]), len(raw[edge[d] : start[k]].tobytes().decode())
             word = raw[start[k] : start[k] + size[k]].tobytes().decode()
-            fits = max(j for j in range(len(word)) if not j or self.word_count("".join([letters[b] for b in word[:j].encode()])) <= left)
+            ends = np.cumsum([len(c.encode()) for c in word[:-1]]).tolist()
+            fits = max((j for j, n_j in enumerate(self._ended("".join([letters[b] for b in word.encode()]), ends), 1) if n_j <= left), default=0)
             out.append((n, at + fits))
         return out
 
@@ -243,35 +281,100 @@ class PrefixCounts:
         """The token count of each text."""
         return (n for n, _ in self.measure(texts, None))
 
+    def _normal(self, run: str) -> str:
+        known = self.normal.get(run)
+        if known is None:
+            known = self.tok.normalizer.normalize_str(run)
+            if len(run) <= LONG_WORD:
+                if len(self.normal) > TABLE_ENTRIES:
+                    self.normal.clear()
+                self.normal[run] = known
+        return known
+
+    def _library_words(self, normal: str) -> list[tuple[str, tuple[int, int]]]:
+        """Words of byte letters and their places in a text in normal form, as the library cuts it."""
+        return self.tok.pre_tokenizer.pre_tokenize_str(normal)
+
+    def _run_counts(self, run: str) -> np.ndarray:
+        """prefix_counts() of a run without plain white space and special tokens.
+
+        The run is cut before each character that stands alone; the library normalises each part and cuts the whole into words.
+        A prefix has the words that end before it and the beginning of one more.
+        """
+        alone = self.alone
+        for c in set(run).difference(alone):
+            alone[c] = stands_alone(c)
+        cuts = [0, *(i for i in range(1, len(run)) if alone[run[i]]), len(run)] if run else [0]
+        parts = [self._normal(run[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+        normal = "".join(parts)
+        if normal != self.tok.normalizer.normalize_str(run):
+            return np.array([len(self.tok.encode(run[:i], add_special_tokens=False).ids) for i in range(len(run) + 1)])
+        place = np.cumsum([0, *map(len, parts)]).tolist()
+        out, words = np.zeros(len(run) + 1, np.int64), self._library_words(normal)
+        i, base = 0, 0  # cuts up to i have their counts; tokens of the words before
+        begin = []  # for each cut, from where words can still change behind it, and the tokens before that
+        last = None  # the word before: its beginning and the tokens before it, if it ends in an apostrophe
+        for letters, (low, high) in words:
+            while i < len(place) and place[i] <= low:
+                out[cuts[i]] = base
+                begin.append((place[i], base))
+                i += 1
+            last = last if last and normal[low - 1] == "'" else None
+            first = i
+            while i < len(place) and place[i] <= high:
+                begin.append(last or (low, base))
+                i += 1
+            word, inside = normal[low:high], place[first:i]
+            if word[0] == "'" and 1 < len(word) < 4:  # perhaps one of those that end a word after an apostrophe
+                counts = [self._words_count(normal[low:p]) for p in inside]
+            else:
+                size = np.cumsum([0, *(len(c.encode()) for c in word)])
+                counts = self._ended(letters, size[np.array(inside, int) - low].tolist())
+            for k, n in enumerate(counts, first):
+                out[cuts[k]] = base + n
+            n = counts[-1] if inside and inside[-1] == high else self._words_count(word)
+            last, base = (low, base) if word[-1] == "'" else None, base + n
+        for k in range(i, len(place)):
+            out[cuts[k]] = base
+            begin.append((place[k], base))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+            for j in range(a + 1, b):  # inside a part
+                low, before = begin[k]
+                out[j] = before + self._words_count(normal[low : place[k]] + self._normal(run[a:j]))
+        return out
+
+    def _words_count(self, normal: str) -> int:
+        return sum(self.word_count(w) for w, _ in self._library_words(normal))
+
+    def _chunk_counts(self, chunk: str) -> np.ndarray:
+        """prefix_counts() of a chunk without plain white space."""
+        out, base, at = np.zeros(len(chunk) + 1, np.int64), 0, 0
+        for m in self.any_special.finditer(chunk):
+            own = self._run_counts(chunk[at : m.end() - 1])  # until its last character, a special token is text
+            out[at : m.end()] = base + own
+            base, at = base + int(own[m.start() - at]) + 1, m.end()
+        out[at:] = base + self._run_counts(chunk[at:])
+        return out
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """The exact count of text[:i] for every i from 0 to len(text)."""
-        if odd_space(text):
-            return np.array([len(self.tok.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)])
         out, base, at = np.zeros(len(text) + 1, np.int64), 0, 0
-        for chunk in text.split():
-            begin = text.index(chunk, at)
-            out[at:begin] = base
-            for i in range(len(chunk) + 1):
-                out[begin + i] = base + (self._count(chunk[:i]) if i else 0)
-            base, at = int(out[begin + len(chunk)]), begin + len(chunk)
+        for m in _CHUNK.finditer(text):
+            out[at : m.start()] = base
+            out[m.start() : m.end() + 1] = base + self._chunk_counts(m.group())
+            base, at = int(out[m.end()]), m.end()
         out[at:] = base
         return out
 
     def fitting(self, text: str, budget: int) -> int:
         """The length of the longest prefix with at most `budget` tokens."""
-        if odd_space(text):
-            ok = np.flatnonzero(self.prefix_counts(text) <= budget)
-            return int(ok[-1])
-        chunks = text.split()
-        total = np.cumsum([0, *(self._count(c) for c in chunks)])
-        k = int(np.searchsorted(total, budget, "right")) - 1  # chunks that fit whole
-        if k == len(chunks):
-            return len(text)
-        at = 0
-        for c in chunks[:k]:
-            at = text.index(c, at) + len(c)
-        at, c = text.index(chunks[k], at), chunks[k]
-        return at + max(i for i in range(len(c)) if int(total[k]) + (self._count(c[:i]) if i else 0) <= budget)
+        used = 0
+        for m in _CHUNK.finditer(text):
+            n = self._count(m.group())
+            if used + n > budget:
+                return m.start() + int(np.flatnonzero(used + self._chunk_counts(m.group()) <= budget)[-1])
+            used += n
+        return len(text)
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

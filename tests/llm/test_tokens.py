@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -137,6 +138,26 @@ def test_every_prefix_count_is_exact():
             assert list(own.measure(["x", t, "", t], budget))[1::2] == [(want[-1], own.fitting(t, budget))] * 2
 
 
+def test_long_texts_in_any_script_are_counted_once():
+    tok, own = Tokenizer.from_file(WORDS), PrefixCounts.of(WORDS)
+    r = random.Random(9)
+    long = [
+        "".join(chr(r.randint(0x3042, 0x3093)) if r.random() < 0.97 else "。" for _ in range(20_000)), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(20_000)), "สวัสดีครับผมชื่อที่นี่" * 900, "नमस्ते दुनिया\xa0" * 1400,
+        "plain words, " * 1500 + "one\xa0space " + "and more " * 1500, "naïve\xa0cafe\u0301's" * 1500, "ab" * 10_000, "한국어텍스트" * 3000, "x<|endoftext|>日本" * 1200,
+    ]
+    for t in ("o're\u0301x", "='ve\u0323", "\xa0'\u0301s\xa0\xa0a", "กี่'ll", "e\u0323\u0301<|endoftext|>\u0338"):
+        assert list(own.prefix_counts(t)) == [len(tok.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t
+    began = time.monotonic()
+    found = list(own.measure(long, 2048))
+    assert time.monotonic() - began < 60
+    for t, (n, fit) in zip(long, found, strict=True):
+        assert n == len(tok.encode(t, add_special_tokens=False).ids)
+        prefixes = own.prefix_counts(t)
+        assert prefixes[-1] == n and fit == np.flatnonzero(prefixes <= 2048)[-1]
+        for i in [*range(40), *r.sample(range(len(t)), 40), fit, min(fit + 1, len(t))]:
+            assert prefixes[i] == len(tok.encode(t[:i], add_special_tokens=False).ids), (t[:20], i)
+
+
 def test_counts_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "word " * 3000, 1), (2, "word " * 3000, 1)], "doc_id long, text string, n_tokens int")
     got = sorted(map(tuple, count_tokens(df, WORDS, 2048).collect()), key=str)
