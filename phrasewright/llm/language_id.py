@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, text_slices
 from .common import ship
 
-#: The sample that is learned from: about so many texts of a language are looked at, and so many characters of distinct words kept.
+#: The sample that is learned from: so many distinct texts of a language are looked at, each up to so many characters, and so many
+#: characters of distinct words kept; of more languages than this, less of each.
 SAMPLE_TEXTS, SAMPLE_CHARS, LONGEST_TEXT, MOST_LANGUAGES = 400, 50_000, 20_000, 64
 
 
@@ -135,29 +136,33 @@ class Model:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """A bounded sample of distinct words for each language, chosen by the texts' hashes, so alike for any partitioning.
 
-    Texts are taken in the order of their hash until SAMPLE_CHARS characters of distinct words are kept. Texts longer than
-    LONGEST_TEXT are not learned from. Null texts and languages are left out.
+    The SAMPLE_TEXTS distinct texts of smallest hash are looked at, and words kept until SAMPLE_CHARS characters; with more than
+    MOST_LANGUAGES languages both shrink in proportion, to one text at least. Of a text, the first LONGEST_TEXT characters count.
+    Null texts and languages, and texts without a letter, are left out.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(f"text is not null and lang is not null and length(text) <= {LONGEST_TEXT}")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null").select("lang", F.xxhash64("text").alias("h"), F.left("text", F.lit(LONGEST_TEXT)).alias("text")).where(r"text rlike '\\p{L}'")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not counts:
         return {}
-    share = F.lit(None).cast("long")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, math.ceil(1_000_000 * SAMPLE_TEXTS / n)))).otherwise(share)
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    found = hashed.where(F.pmod("h", F.lit(1_000_000)) < share).collect()  # about SAMPLE_TEXTS of each language
+    less = max(1.0, len(counts) / MOST_LANGUAGES)
+    texts, chars = max(1, int(SAMPLE_TEXTS / less)), max(1, int(SAMPLE_CHARS / less))
+    # hashes below a bound that holds more than enough of them; copies of a text meet before they are sent
+    few = 4 * texts + 100
+    bounds = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (few << 64) // max(1, r["n"]))) for r in counts]
+    some = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = some.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= texts).collect()
     sample: dict[str, dict[str, None]] = {}
     size: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r["h"], r["text"])):
         own = sample.setdefault(r["lang"], {})
-        for w in words_of(r["text"]):
-            if w not in own and size.get(r["lang"], 0) < SAMPLE_CHARS:
+        words = words_of(r["text"])
+        if len(r["text"]) >= LONGEST_TEXT and len(words) > 1:  # the last one may be cut
+            words.pop()
+        for w in words:
+            if w not in own and size.get(r["lang"], 0) < chars:
                 own[w] = None
                 size[r["lang"]] = size.get(r["lang"], 0) + len(w) + 1
-    return {k: list(v) for k, v in sample.items()}
+    return {k: list(v) for k, v in sample.items() if v}
 
 
 def identify(df: DataFrame, sample: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +172,7 @@ def identify(df: DataFrame, sample: dict[str, list[str]], id_col: str = "doc_id"
     """
     spark = df.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(sample)  # at most MOST_LANGUAGES * SAMPLE_CHARS characters
+    shared = spark.sparkContext.broadcast(sample)  # about MOST_LANGUAGES * SAMPLE_CHARS characters at most
     key = hash(tuple((k, tuple(v)) for k, v in sorted(sample.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,22 @@ def test_automaton_parses_by_longest_matches():
         assert own.phrases(t) == plain(t), t
 
 
+def test_every_language_is_learned(spark):
+    copied = [(f"text{i} of{lang} word{i}{lang} " * 3, lang) for lang in map("c{}".format, range(8)) for i in range(5) for _ in range(800)]
+    rows = [*copied, *((f"longest{i} " * 3000, "long") for i in range(3)), ("12 34", "none"), *((f"word{chr(97 + i % 26)}{chr(97 + i // 26)} again", f"m{i}") for i in range(70))]
+    sample = learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(sample) == {lang for _, lang in rows} - {"none"}
+    assert sample == learn(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(5))
+    assert {"text", "ofc", "word"} <= set(sample["c3"]) and sample["long"] == ["longest"]
+
+
+def test_sample_is_the_texts_of_smallest_hash(spark):
+    rows = [(f"w{''.join(chr(97 + int(c)) for c in str(i))}", "en") for i in range(5000)]
+    df = spark.createDataFrame([r for r in rows for _ in range(3)], "text string, lang string")
+    want = [r["text"] for r in df.distinct().orderBy(F.xxhash64("text")).limit(400).collect()]
+    assert learn(df)["en"] == want
+
+
 def test_languages_odd_rows(spark):
     seen = spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "en"), ("x", None)], "text string, lang string")
     sample = learn(seen)
