@@ -216,6 +216,11 @@ def test_recall_in_more_dimensions(spark, dims, clusters):
     assert recall(spark, unit(4500, dims, clusters)) >= 0.9
 
 
+def test_query_vectors_through_the_tables(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").toPandas()
+    assert recall(spark, np.stack(e.embedding).astype(float), 20, small=0) >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (None, [1.0, 0.0]), (8, [1.0]), (2, [1.0, 0.0]), (40, None), (60, [])]
