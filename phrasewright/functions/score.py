@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .query_text import Query, ngrams
 
+# The least bigram similarity that counts, what each rule scores (a word that is the token, begins with it, shares its
+# stem; a field that is the token, begins with it, holds it; a fuzzy word scores 1 and its similarity), tier and status weights.
 FUZZY = 0.55
-# Tier and status weights.
+SAME_WORD, WORD_BEGINS, SAME_STEM = 4.5, 3.5, 2.5
+SAME_FIELD, FIELD_BEGINS, FIELD_HOLDS = 5.0, 4.0, 3.0
 WEIGHTS = (("tier", "built", 0.92), ("tier", "corpus", 0.8), ("status", "ok", 1.08))
 #: The search sides of an indexed row, and their number of fields.
 SIDES = {"dev": 2, "rom": 3}
@@ -49,7 +52,7 @@ def stem(w: str, token: str) -> str:
 
 def word_score(w: str, token: str) -> str:
     t, d = quoted(token), dice(w, token)
-    return f"CASE WHEN {w} = {t} THEN 4.5D WHEN startswith({w}, {t}) THEN 3.5D WHEN {stem(w, token)} THEN 2.5D WHEN {d} >= {FUZZY}D THEN 1D + {d} ELSE 0D END"
+    return f"CASE WHEN {w} = {t} THEN {SAME_WORD}D WHEN startswith({w}, {t}) THEN {WORD_BEGINS}D WHEN {stem(w, token)} THEN {SAME_STEM}D WHEN {d} >= {FUZZY}D THEN 1D + {d} ELSE 0D END"
 
 
 def word_hit(w: str, token: str) -> str:
@@ -62,8 +65,8 @@ def word_hit(w: str, token: str) -> str:
 def token_score(token: str, side: str) -> Column:
     """The best rule that joins a token to one side of a row; 0 if none does. Words are looked at only where no field is the token."""
     t = quoted(token)
-    fields = ", ".join(f"CASE WHEN startswith({side}[{i}], {t}) THEN 4D WHEN contains({side}[{i}], {t}) THEN 3D ELSE 0D END" for i in range(SIDES[side]))
-    return F.expr(f"CASE WHEN array_contains({side}, {t}) THEN 5D ELSE greatest({fields}, coalesce(array_max(transform({side}_words, w -> {word_score('w', token)})), 0D)) END")
+    fields = ", ".join(f"CASE WHEN startswith({side}[{i}], {t}) THEN {FIELD_BEGINS}D WHEN contains({side}[{i}], {t}) THEN {FIELD_HOLDS}D ELSE 0D END" for i in range(SIDES[side]))
+    return F.expr(f"CASE WHEN array_contains({side}, {t}) THEN {SAME_FIELD}D ELSE greatest({fields}, coalesce(array_max(transform({side}_words, w -> {word_score('w', token)})), 0D)) END")
 
 
 def row_score(query: Query, scores: list[str], side: str) -> Column:

@@ -6,9 +6,9 @@ by nfc(); everything here expects composed text.
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from ..shipping import ship
 
 # The white space of the query language, as one explicit class for every engine.
-SPACES = "\t\n\x0b\f\r                  　﻿"
+SPACES = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE_CLASS = f"[{SPACES}]"
 
 # Consonants, independent vowels and vowel signs with their roman spelling.
@@ -30,7 +30,7 @@ SIGNS = dict(zip("ािीुूृेैोौ", ["aa", "i", "ee", "u", "oo",
 NASALS, VISARGA, HALANT = "ंँ", "ः", "्"
 
 # Marks and joiners, then punctuation, that clean-up drops.
-DROPPED_MARKS = "़​‌‍﻿"
+DROPPED_MARKS = "\u093c\u200b\u200c\u200d\ufeff"
 DROPPED_POINTS = "?।!,.'\"()‘’“”"
 
 # Rewrites of the phonetic fold, in order.
@@ -49,7 +49,8 @@ CODES = {s: chr(0xE000 + i) for i, s in enumerate(sorted({v for v in LETTERS.val
 
 @F.pandas_udf(StringType())
 def _composed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+    texts = pa.array(s, pa.string(), from_pandas=True)
+    return s if pc.all(pc.string_is_ascii(texts)).as_py() is not False else pc.utf8_normalize(texts, form="NFC").to_pandas()
 
 
 def nfc(c: Column | str) -> Column:
