@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,11 +35,12 @@ def order() -> list[Column]:
     return [F.desc("score"), F.expr(js_length("hindi")), F.col("idx")]
 
 
-def search(rows: DataFrame, text: str | None, situation: str | None = None, limit: int | None = None) -> DataFrame:
+def search(rows: DataFrame, text: str | None, situation: str | None = None, limit: int | None = None, few: bool = False) -> DataFrame:
     """The ranked rows for a query, without search keys, score added; exhaustive.
 
     A blank query gives all rows in the order of idx, score null; a query of which nothing is left after normalising gives
-    none. With a limit, exactly the head of the full ranking.
+    none. With a limit, exactly the head of the full ranking. few: a caller knows that not many rows can match, so that one task orders
+    them, without sampling their ranges first.
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
@@ -51,7 +52,8 @@ def search(rows: DataFrame, text: str | None, situation: str | None = None, limi
     elif not query.tokens:
         out = strip(rows).withColumn("score", F.lit(None).cast("double")).where(F.lit(False))
     else:
-        out = strip(scored(rows, query)).orderBy(*order())
+        found = strip(scored(rows, query))
+        out = found.repartition(1).sortWithinPartitions(*order()) if few and limit is None else found.orderBy(*order())
     return out if limit is None else out.limit(limit)
 
 
@@ -73,11 +75,27 @@ def word_postings(rows: DataFrame) -> DataFrame:
     return rows.select("idx", each.alias("x")).select("idx", F.col("x.side").alias("side"), F.explode("x.words").alias("word")).select("side", "word", "idx")
 
 
+def word_counts(found: DataFrame) -> DataFrame:
+    """side, word, df: the vocabulary, and how many rows hold each word."""
+    return found.groupBy("side", "word").agg(F.count(F.lit(1)).alias("df"))
+
+
 def gram_counts(found: DataFrame) -> DataFrame:
     """side, gram, df: how many rows hold each gram."""
     return found.groupBy("side", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def total_postings(counts: DataFrame) -> DataFrame:
+    """side, grams, postings: the size of an index."""
+    return counts.groupBy("side").agg(F.count(F.lit(1)).alias("grams"), F.sum("df").alias("postings"))
+
+
+#: Grams whose counts an index keeps on the driver at most (trigrams of two alphabets; a few dozen bytes each).
+MOST_GRAMS = 1 << 18
+#: Candidates that are taken from the postings at most, and the part of all rows below which that beats looking at the rows themselves.
+MOST_CANDIDATES, SELECTIVE = 200_000, 0.05
+
+
 @dataclass
 class PhraseIndex:
     """Indexed rows, their trigram postings with gram counts, and their word postings with the vocabulary. Written by save(), postings
@@ -88,56 +106,106 @@ class PhraseIndex:
     counts: DataFrame
     words: DataFrame
     vocabulary: DataFrame
+    _df: dict[tuple[str, str], int] = field(default_factory=dict, repr=False)
+    _whole: bool | None = field(default=None, repr=False)
+    _n: int | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, rows: DataFrame) -> PhraseIndex:
         found, words = postings(rows), word_postings(rows)
-        return cls(rows, found, gram_counts(found), words, words.select("side", "word").distinct())
+        return cls(rows, found, gram_counts(found), words, word_counts(words))
 
     def save(self, path: str) -> PhraseIndex:
         spark = self.rows.sparkSession
         self.rows.write.parquet(f"{path}/rows")
-        for table, name, key in ((self.postings, "postings", "gram"), (self.words, "words", "word")):
+        rows = spark.read.parquet(f"{path}/rows")
+        for table, name, key in ((postings(rows), "postings", "gram"), (word_postings(rows), "words", "word")):
             table.repartitionByRange("side", key).sortWithinPartitions("side", key).write.parquet(f"{path}/{name}")
-        gram_counts(spark.read.parquet(f"{path}/postings")).sort("side", "gram").write.parquet(f"{path}/counts")
-        spark.read.parquet(f"{path}/words").select("side", "word").distinct().write.parquet(f"{path}/vocabulary")
+        # counts are a few rows of a key each: one file is read in one task
+        gram_counts(spark.read.parquet(f"{path}/postings")).repartitionByRange("side", "gram").sortWithinPartitions("side", "gram").write.parquet(f"{path}/counts")
+        word_counts(spark.read.parquet(f"{path}/words")).write.parquet(f"{path}/vocabulary")
         return self.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PhraseIndex:
         return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("rows", "postings", "counts", "words", "vocabulary")))
 
+    @property
+    def size(self) -> int:
+        """How many rows there are; counted once."""
+        if self._n is None:
+            self._n = self.rows.count()
+        return self._n
+
+    def gram_df(self, side: str, grams: list[str]) -> dict[str, int]:
+        """The grams that some row holds, and how many rows do. All counts are read at the first question if they are few enough, else only
+        those asked for; either way no gram is looked up twice."""
+        if self._whole is None:
+            found = self.counts.limit(MOST_GRAMS + 1).collect()  # bounded
+            self._whole = len(found) <= MOST_GRAMS
+            if self._whole:
+                self._df = {(r["side"], r["gram"]): r["df"] for r in found}
+        missing = [] if self._whole else [g for g in grams if (side, g) not in self._df]
+        if missing:
+            found = {r["gram"]: r["df"] for r in self.counts.where((F.col("side") == side) & F.col("gram").isin(missing)).collect()}  # at most as many as are asked for
+            self._df |= {(side, g): found.get(g, 0) for g in missing}
+        return {g: n for g in grams if (n := self._df.get((side, g), 0))}
+
     def probes(self, query: Query) -> list[list[str]] | None:
         """For each token of three characters or more, its first known gram and the two rarest others; None if no token has three."""
         use = [t for t in query.tokens if len(t) >= GRAM]
         if not use:
             return None
-        grams = sorted({g for t in use for g in ngrams(t, GRAM)})
-        known = {r["gram"]: r["df"] for r in self.counts.where((F.col("side") == _side(query)) & F.col("gram").isin(grams)).collect()}  # at most as many rows as the query has grams
+        known = self.gram_df(_side(query), sorted({g for t in use for g in ngrams(t, GRAM)}))
         out = []
         for t in use:
             own = [g for g in ngrams(t, GRAM) if g in known]
             out.append(own[:1] + sorted(own[1:], key=lambda g: known[g])[: PROBES - 1])
         return out
 
+    def at_most(self, query: Query, probes: list[list[str]]) -> int:
+        """More candidates than this there are not: those of the token whose grams are rarest."""
+        known = self.gram_df(_side(query), sorted({g for p in probes for g in p}))
+        return min(sum(known[g] for g in p) for p in probes)
+
     def candidates(self, query: Query) -> DataFrame | None:
         """idx of the rows met under every token; None if the index has nothing to go by."""
         probes = self.probes(query)
         if probes is None:
             return None
         wanted = sorted({g for p in probes for g in p})
-        hit = self.postings.where((F.col("side") == _side(query)) & F.col("gram").isin(wanted) if wanted else F.lit(False))
+        hit = self.postings.where((F.col("side") == _side(query)) & F.col("gram").isin(wanted) if all(probes) else F.lit(False))
         met = [F.max(F.col("gram").isin(p)) if p else F.lit(False) for p in probes]
         return hit.groupBy("idx").agg(reduce(lambda a, b: a & b, met).alias("all")).where("all").select("idx")
 
-    def complete_candidates(self, query: Query) -> DataFrame:
+    def _pool(self, query: Query) -> tuple[DataFrame, bool]:
+        """The rows met under every token, and whether they are few. Few are taken from the postings and sent to the rows; of many, the rows
+        themselves are asked for the same grams, which needs no exchange."""
+        probes = self.probes(query)
+        if probes is None:
+            return self.rows, False
+        if not all(probes):
+            return self.rows.where(F.lit(False)), True
+        most = self.at_most(query, probes)
+        if most <= min(MOST_CANDIDATES, SELECTIVE * self.size):
+            return self.rows.join(F.broadcast(self.candidates(query)), "idx", "left_semi"), True
+        side = _side(query)
+        held = [" OR ".join(f"contains({side}[{i}], {quoted(g)})" for g in p for i in range(SIDES[side])) for p in probes]
+        return self.rows.where(F.expr(" AND ".join(f"({h})" for h in held))), most <= MOST_CANDIDATES
+
+    def complete_candidates(self, query: Query) -> DataFrame | None:
         """idx of every row that can score. All rules of a row hold through one of its words, so only distinct words are tried,
-        fuzzy ones included; their postings are then joined."""
+        fuzzy ones included; their postings are then joined. None where they are too many for that to pay."""
         side = _side(query)
-        hit = [f"if(contains(word, {quoted(t)}) OR {word_score('word', t)} > 0, {1 << i}L, 0L)" for i, t in enumerate(query.tokens)]
-        tried = self.vocabulary.where(F.col("side") == side).select("word", F.expr(" + ".join(hit)).alias("mask")).where("mask > 0")
-        met = self.words.where(F.col("side") == side).join(tried, "word").groupBy("idx").agg(F.bit_or("mask").alias("mask"))
-        return met.where(F.col("mask") == (1 << len(query.tokens)) - 1).select("idx")
+        names = [f"hit{i}" for i in range(len(query.tokens))]
+        hit = {n: F.expr(f"contains(word, {quoted(t)}) OR {word_score('word', t)} > 0") for n, t in zip(names, query.tokens, strict=True)}
+        tried = self.vocabulary.where(F.col("side") == side).withColumns(hit).where(" OR ".join(names))
+        r = tried.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(F.when(F.col(n), F.col("df"))), F.lit(0)).alias(n) for n in names)).first()
+        if min(r[n] for n in names) > SELECTIVE * self.size or r["words"] > MOST_CANDIDATES:
+            return None
+        met = self.words.where(F.col("side") == side).join(F.broadcast(tried.select("word", *names)), "word")
+        met = met.groupBy("idx").agg(*(F.bool_or(n).alias(n) for n in names)).where(" AND ".join(names)).select("idx")
+        return F.broadcast(met) if min(r[n] for n in names) <= MOST_CANDIDATES else met
 
     def search(self, text: str | None, situation: str | None = None, limit: int | None = None, exhaustive: bool = False, complete: bool = False) -> DataFrame:
         """search(), scoring only candidates unless exhaustive.
@@ -146,11 +214,13 @@ class PhraseIndex:
         from the vocabulary, and the answer is the exhaustive one.
         """
         query = parse_query(text)
-        if exhaustive or query.blank or not query.tokens or complete and len(query.tokens) > 62:
-            pool = None
-        else:
-            pool = self.complete_candidates(query) if complete else self.candidates(query)
-        return search(self.rows if pool is None else self.rows.join(pool, "idx", "left_semi"), text, situation, limit)
+        if exhaustive or query.blank or not query.tokens:
+            return search(self.rows, text, situation, limit)
+        if complete:
+            pool = self.complete_candidates(query)
+            return search(self.rows if pool is None else self.rows.join(pool, "idx", "left_semi"), text, situation, limit)
+        rows, few = self._pool(query)
+        return search(rows, text, situation, limit, few)
 
 
 def batch_search(rows: DataFrame, queries: list[str], limit: int) -> DataFrame:

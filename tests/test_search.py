@@ -1,5 +1,6 @@
 import pytest
 
+from phrasewright.functions.query_text import parse_query
 from phrasewright.operators.rows import index_rows, strip
 from phrasewright.operators.search import PhraseIndex, batch_search, ranked, search
 
@@ -94,6 +95,29 @@ def test_a_saved_index_answers_alike(keyed, tmp_path):
         assert got(saved.search(text)) == got(PhraseIndex.build(keyed).search(text))
 
 
+@pytest.mark.parametrize(("most", "share"), [(0, 1.0), (200, 0.0), (200, 1.0)])
+def test_candidates_from_rows_and_from_postings_are_the_same(keyed, monkeypatch, most, share):
+    index = PhraseIndex.build(keyed)
+    want = {t: got(keyed.join(index.candidates(parse_query(t)), "idx", "left_semi").transform(lambda d, t=t: search(d, t))) for t in ("ticket", "paani kahan hai", "कुठे आहे", "tikat ab")}
+    monkeypatch.setattr("phrasewright.operators.search.MOST_CANDIDATES", most)
+    monkeypatch.setattr("phrasewright.operators.search.SELECTIVE", share)
+    assert {t: got(PhraseIndex.build(keyed).search(t)) for t in want} == want
+    assert all(got(index.search(t, complete=True)) == got(search(keyed, t)) for t in want)
+
+
+def test_many_tokens(keyed):
+    text = " ".join(["where", "is", "the", "station"] * 20)
+    assert got(PhraseIndex.build(keyed).search(text, complete=True)) == got(search(keyed, text)) != []
+
+
+def test_gram_counts_are_read_once(keyed, monkeypatch):
+    index = PhraseIndex.build(keyed)
+    whole = index.gram_df("rom", ["tik", "zzz"])
+    monkeypatch.setattr("phrasewright.operators.search.MOST_GRAMS", 3)
+    asked = PhraseIndex.build(keyed)
+    assert asked.gram_df("rom", ["tik", "zzz"]) == whole != {} and asked._df[("rom", "zzz")] == 0 and len(asked._df) == 2
+
+
 def test_a_head_needs_no_exchange(keyed):
     plan = search(keyed, "red wiget", limit=10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.split("InMemoryRelation")[0]
