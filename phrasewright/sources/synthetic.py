@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The letters and signs that nouns are made of, and the generator's constants.
 LETTERS = "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"
@@ -38,6 +39,11 @@ def noun_table(spark: SparkSession, first: int, until: int, categories: list[str
     return spark.createDataFrame(list(made_up_nouns(first, until, categories, draw)), schema)
 
 
+def categories(nouns: DataFrame) -> DataFrame:
+    """category, first: the nouns' categories, to be taken in the order of first."""
+    return nouns.groupBy("category").agg(F.min("ord").alias("first"))
+
+
 def corpus_of(base: DataFrame, patterns: DataFrame, nouns: DataFrame, n_nouns: int, draw: Draws) -> DataFrame:
     """base (phrase rows with idx) and every sentence of the patterns with the nouns, grown to n_nouns by made-up ones.
 
@@ -47,7 +53,7 @@ def corpus_of(base: DataFrame, patterns: DataFrame, nouns: DataFrame, n_nouns: i
     from ..operators.templates import expand
 
     have = nouns.count()
-    seen = nouns.groupBy("category").agg({"ord": "min"}).withColumnRenamed("min(ord)", "first").orderBy("first").collect()  # a handful of categories
+    seen = categories(nouns).orderBy("first").collect()  # a handful
     more = noun_table(base.sparkSession, have, n_nouns, [r["category"] for r in seen], draw) if n_nouns > have else nouns.limit(0)
     last = nouns.agg({"ord": "max"}).first()[0]
     more = more.withColumn("ord", (more["ord"] - have + (0 if last is None else last + 1)).cast(nouns.schema["ord"].dataType))  # after all given ones

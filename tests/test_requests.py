@@ -2,6 +2,7 @@ from phrasewright.functions.score import word_hit
 from phrasewright.operators.highlight import highlight
 from phrasewright.operators.rows import index_rows
 from phrasewright.operators.search import search
+from phrasewright.streaming import requests
 from phrasewright.streaming.requests import answer, latest_requests, search_stream
 
 SCHEMA = "session long, seq long, q string, situation string"
@@ -29,6 +30,13 @@ def test_requests_as_a_stream(spark, tmp_path):
     assert [(r["session"], r["seq"], r["idx"]) for r in got] == [(1, 2, 2)]
 
 
+def test_requests_of_many_queries_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(requests, "PASS", 2)
+    asked = spark.createDataFrame([(1, 1, "red", ""), (2, 1, "bolt", ""), (3, 1, "blue", "a"), (4, 1, "widget", "b"), (5, 1, "bolt", None)], SCHEMA)
+    assert len(list(requests.answers(phrases(spark), asked))) == 2
+    assert {(r["session"], r["idx"]) for r in answer(phrases(spark), asked).collect()} == {(1, 1), (1, 2), (2, 1), (2, 3), (3, 3), (4, 2), (5, 1), (5, 3)}
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("the  red\t<widgets> कितना", "क")], "a string, b string")
     one = lambda q, c="a": highlight(df, c, q, "h").first()["h"]
