@@ -94,6 +94,8 @@ def total_postings(counts: DataFrame) -> DataFrame:
 MOST_GRAMS = 1 << 18
 #: Candidates that are taken from the postings at most, and the part of all rows below which that beats looking at the rows themselves.
 MOST_CANDIDATES, SELECTIVE = 200_000, 0.05
+#: Words that a text's tokens match, fuzzily too, up to which rows are asked for them one by one.
+MOST_WORDS = 2000
 
 
 @dataclass
@@ -193,19 +195,24 @@ class PhraseIndex:
         held = [" OR ".join(f"contains({side}[{i}], {quoted(g)})" for g in p for i in range(SIDES[side])) for p in probes]
         return self.rows.where(F.expr(" AND ".join(f"({h})" for h in held))), most <= MOST_CANDIDATES
 
-    def complete_candidates(self, query: Query) -> DataFrame | None:
-        """idx of every row that can score. All rules of a row hold through one of its words, so only distinct words are tried,
-        fuzzy ones included; their postings are then joined. None where they are too many for that to pay."""
-        side = _side(query)
-        names = [f"hit{i}" for i in range(len(query.tokens))]
-        hit = {n: F.expr(f"contains(word, {quoted(t)}) OR {word_score('word', t)} > 0") for n, t in zip(names, query.tokens, strict=True)}
-        tried = self.vocabulary.where(F.col("side") == side).withColumns(hit).where(" OR ".join(names))
-        r = tried.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(F.when(F.col(n), F.col("df"))), F.lit(0)).alias(n) for n in names)).first()
-        if min(r[n] for n in names) > SELECTIVE * self.size or r["words"] > MOST_CANDIDATES:
-            return None
-        met = self.words.where(F.col("side") == side).join(F.broadcast(tried.select("word", *names)), "word")
-        met = met.groupBy("idx").agg(*(F.bool_or(n).alias(n) for n in names)).where(" AND ".join(names)).select("idx")
-        return F.broadcast(met) if min(r[n] for n in names) <= MOST_CANDIDATES else met
+    def _complete_pool(self, query: Query) -> tuple[DataFrame, bool]:
+        """The rows that can score. All rules of a row hold through one of its words, so distinct words are tried, fuzzy ones included. Where
+        they are few, rows are taken from their postings if that leaves few rows, else asked for these words; where not, all rows stay."""
+        side, tokens = _side(query), range(len(query.tokens))
+        hit = {f"hit{i}": F.expr(f"contains(word, {quoted(t)}) OR {word_score('word', t)} > 0") for i, t in enumerate(query.tokens)}
+        tried = self.vocabulary.where(F.col("side") == side).select("word", "df", *(c.alias(n) for n, c in hit.items())).where(" OR ".join(hit))
+        found = tried.limit(MOST_WORDS + 1).collect()  # bounded
+        if len(found) > MOST_WORDS:
+            return self.rows, False
+        words = [[r["word"] for r in found if r[f"hit{i}"]] for i in tokens]
+        if not all(words):
+            return self.rows.where(F.lit(False)), True
+        most = min(sum(r["df"] for r in found if r[f"hit{i}"]) for i in tokens)
+        if most <= min(MOST_CANDIDATES, SELECTIVE * self.size):
+            met = self.words.where((F.col("side") == side) & F.col("word").isin([r["word"] for r in found])).groupBy("idx").agg(*(F.max(F.col("word").isin(w)).alias(f"hit{i}") for i, w in enumerate(words)))
+            return self.rows.join(F.broadcast(met.where(" AND ".join(hit)).select("idx")), "idx", "left_semi"), True
+        holds = [F.arrays_overlap(F.col(f"{side}_words"), F.array(*map(F.lit, w))) for w in words]
+        return self.rows.where(reduce(lambda a, b: a & b, holds)), most <= MOST_CANDIDATES
 
     def search(self, text: str | None, situation: str | None = None, limit: int | None = None, exhaustive: bool = False, complete: bool = False) -> DataFrame:
         """search(), scoring only candidates unless exhaustive.
@@ -216,10 +223,7 @@ class PhraseIndex:
         query = parse_query(text)
         if exhaustive or query.blank or not query.tokens:
             return search(self.rows, text, situation, limit)
-        if complete:
-            pool = self.complete_candidates(query)
-            return search(self.rows if pool is None else self.rows.join(pool, "idx", "left_semi"), text, situation, limit)
-        rows, few = self._pool(query)
+        rows, few = self._complete_pool(query) if complete else self._pool(query)
         return search(rows, text, situation, limit, few)
 
 
