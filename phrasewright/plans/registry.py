@@ -19,7 +19,7 @@ from ..operators.templates import expand
 from ..sources.csv import read_sheet, read_sheet_strict
 from ..sources.synthetic import Draws, categories, corpus_of, noun_table
 from ..sources.tiers import load_tiers
-from ..streaming.requests import answer, latest_requests
+from ..streaming.requests import answer, latest_requests, search_stream
 from . import sql
 from .scratch import scratch
 
@@ -579,14 +579,39 @@ _FOUND_SQL = " UNION ALL ".join(
 )
 
 
-@query(
+_ANSWERS_SQL = (
     f"WITH {sql.KEYED}, latest AS (SELECT user_id AS session, max(event_id) AS seq, max_by(event_type, event_id) AS kind FROM events GROUP BY user_id), asked AS (SELECT * FROM (VALUES {_ASKED_SQL}) t(kind, q, situation)), "
     f"found AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {sql.ORDER}) AS rank FROM ({_FOUND_SQL})) "
     "SELECT session, seq, q AS query, situation AS asked, idx, round(score, 9) AS score, rank FROM latest JOIN asked USING (kind) JOIN found USING (q, situation) WHERE rank <= 5"
 )
-def session_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of the ranking for each session's latest request, within the situation it names."""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     pick = lambda i: reduce(lambda c, k: c.when(kind == k, ASKED[k][i]), ASKED, F.when(F.lit(False), ""))
-    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), pick(0).alias("q"), pick(1).alias("situation"))
-    return rounded(answer(keyed(spark, sf_dir), requests, 5)).select("session", "seq", "query", "asked", "idx", "score", F.col("rank").cast("long").alias("rank"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), pick(0).alias("q"), pick(1).alias("situation"))
+
+
+_ANSWERED = ("session", "seq", "query", "asked", "idx", "score", "rank")
+
+
+@query(_ANSWERS_SQL)
+def session_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of the ranking for each session's latest request, within the situation it names."""
+    found = rounded(answer(keyed(spark, sf_dir), _requests(spark, sf_dir), 5))
+    return found.withColumn("rank", F.col("rank").cast("long")).select(*_ANSWERED)
+
+
+@query(_ANSWERS_SQL)
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: requests are read from a folder, answers go to a table."""
+    path = scratch(spark)
+    _requests(spark, sf_dir).write.parquet(f"{path}/requests")
+    asked = spark.readStream.schema(spark.read.parquet(f"{path}/requests").schema).parquet(f"{path}/requests")
+    sink = lambda found, n: found.withColumn("rank", F.col("rank").cast("long")).select(*_ANSWERED).write.mode("append").parquet(f"{path}/answers")
+    stream = search_stream(asked, keyed(spark, sf_dir), sink, f"{path}/progress", 5)
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return rounded(spark.read.parquet(f"{path}/answers"))
