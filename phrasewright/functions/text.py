@@ -6,6 +6,8 @@ by nfc(); everything here expects composed text.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,8 +51,10 @@ CODES = {s: chr(0xE000 + i) for i, s in enumerate(sorted({v for v in LETTERS.val
 
 @F.pandas_udf(StringType())
 def _composed(s: pd.Series) -> pd.Series:
-    texts = pa.array(s, pa.string(), from_pandas=True)
-    return s if pc.all(pc.string_is_ascii(texts)).as_py() is not False else pc.utf8_normalize(texts, form="NFC").to_pandas()
+    """Only texts that are not composed already are touched; a batch of plain ASCII is passed on whole."""
+    if pc.all(pc.string_is_ascii(pa.array(s, pa.string(), from_pandas=True))).as_py() is not False:
+        return s
+    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
 def nfc(c: Column | str) -> Column:
