@@ -44,7 +44,7 @@ def text_slices(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, in
 
 
 #: White space on which regex engines and Unicode versions differ; texts with it are given to the library whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def odd_space(text: str) -> bool:

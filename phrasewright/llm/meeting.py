@@ -19,17 +19,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import partitions
+from .common import partitions, plan_bytes
 from .wordhash import U, mix
 
 SENT = "bucket int, kind int, h binary, doc binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("doc", pa.binary())])
+#: Text (as its files hold it) whose entries a bucket takes; a bucket is one step of a task.
+BUCKET_BYTES = 16 << 20
 REPLY = {"any": "doc_id long, h binary", "later": "doc_id long, h binary", "star": "a long, b long"}
 
 
-def bucket_count(spark) -> int:
-    """Buckets are a few for each shuffle partition, so they grow with what the cluster is set up for."""
-    return 4 * max(16, partitions(spark))
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for the entries of some texts: a few for each shuffle partition, and as many as it takes for each to hold those of about
+    BUCKET_BYTES of text."""
+    size = plan_bytes(texts)
+    return max(4 * max(16, partitions(texts.sparkSession)), size // BUCKET_BYTES if size < 1 << 60 else 0)
 
 
 def _groups(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

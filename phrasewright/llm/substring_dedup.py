@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ship
+from .common import fresh, ship
 from .meeting import SENT, bucket_count, meet, send
 from .wordhash import U, Words, buffers, mix, runs, slices
 
@@ -50,12 +50,12 @@ def _marked(doc: np.ndarray, h: np.ndarray, marks: list, kind: type) -> np.ndarr
     return np.isin(h.astype(kind).astype(U) ^ salt(doc), known)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, joined: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, joined: bool = False, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts in a document with a smaller id.
 
     Words are runs of characters other than space and tab to carriage return; windows are judged on the input.
     Returns every input row with its columns (the text replaced) plus n_words, n_removed and n_windows, the number
-    of windows removed. The text that is left keeps its own white space; with joined=True it is the kept words
+    of windows removed (or as they are named by `added`). The text that is left keeps its own white space; with joined=True it is the kept words
     joined by one space. A text of which nothing is removed stays as it is unless joined.
 
     Null text has no words and comes back null ("" if joined). A row without id matches nothing and loses nothing.
@@ -66,18 +66,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("period must lie between 1 and window")
     spark = df.sparkSession
     ship(spark)
-    cover, n = difference_cover(period), bucket_count(spark)
+    cover = difference_cover(period)
     # the input's columns go through as they are, so that both joins below share one exchange of the texts
-    docs = df.select(*(c for c in df.columns if c not in ADDED))
+    docs = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in {a.lower() for a in added}))
     if df.schema[id_col].dataType.simpleString() != "bigint":
         docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    known = docs.where(F.col(id_col).isNotNull())
+    known, n = docs.where(F.col(id_col).isNotNull()), bucket_count(docs.select(id_col, text_col))
+    of, own_marks = fresh([*docs.columns, *added], "of", "marks")
     i_id, i_text, i_marks = docs.columns.index(id_col), docs.columns.index(text_col), len(docs.columns)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for a, _, words, _ in runs(batch, text_col, most=4 << 20):
+            for a, _, words, _ in runs(batch, text_col, most=2 << 20):
                 at, h = _anchors(words, window, period, cover)
                 yield send(h, ids[a + words.doc[at]], n, "any", False)
 
@@ -85,7 +86,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             batch = batch.filter(batch.column(i_marks).is_valid())
             ids, marks = batch.column(i_id).to_numpy(), batch.column(i_marks)
-            for a, b, words, _ in runs(batch, text_col, most=4 << 20):
+            for a, b, words, _ in runs(batch, text_col, most=2 << 20):
                 at, h = _anchors(words, window, period, cover)
                 at = at[_marked(words.doc[at], h, marks[a:b].to_pylist(), np.uint32)]
                 near = np.zeros(len(words.hash) + 1, np.int32)
@@ -136,14 +137,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = [pa.array(texts, pa.string()) if i == i_text else batch.column(i)[a:b] for i in range(i_marks)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in (words_n, lost_n, windows_n))], names=names)
 
-    names = [*docs.columns, *ADDED]
-    by_doc = lambda replies: replies.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("h").alias("_marks"))
-    marked = lambda replies: known.join(by_doc(replies), F.col(id_col) == F.col("_of"), "left").select(*docs.columns, "_marks")
+    names = [*docs.columns, *added]
+    shown = [F.col(f"`{c}`") for c in docs.columns]
+    by_doc = lambda replies: replies.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list("h").alias(own_marks))
+    marked = lambda replies: known.join(by_doc(replies), F.col(id_col) == F.col(of), "left").select(*shown, own_marks)
     shared = meet(known.select(id_col, text_col).mapInArrow(anchors, SENT), "any", False)
     later = meet(marked(shared).mapInArrow(extended, SENT), "later", True)
-    lone = docs.where(F.col(id_col).isNull()).withColumn("_marks", F.lit(None).cast("array<binary>"))
+    lone = docs.where(F.col(id_col).isNull()).withColumn(own_marks, F.lit(None).cast("array<binary>"))
     schema = StructType(list(docs.schema.fields))
-    for c in ADDED:
+    for c in added:
         schema = schema.add(c, "long")
     done = marked(later).unionByName(lone).mapInArrow(cut, schema)
     return done.withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType)) if docs.schema[id_col].dataType != df.schema[id_col].dataType else done

@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are hashed at a time; one longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of runs that are hashed in one step; a step needs some 40 bytes for each.
+BLOCK_BYTES = 256 << 10
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -61,13 +63,20 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def hash_runs(raw: np.ndarray, start: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each run of bytes; runs follow each other without gaps, from `start` to the next one."""
-    if not len(start):
+    """A hash of each run of bytes; runs follow each other without gaps, from `start` to the next one. Worked out a block of runs at a time."""
+    n = len(start)
+    if not n:
         return np.zeros(0, U)
-    size = np.diff(np.append(start, len(raw)))
-    place = np.arange(len(raw)) - np.repeat(start, size)
-    part = (_BYTE_LOWER if lower else _BYTE)[raw] * _power(int(size.max()))[place]
-    return mix(np.add.reduceat(part, start) + size.astype(U))
+    end = np.append(start[1:], len(raw))
+    size, letter = end - start, _BYTE_LOWER if lower else _BYTE
+    power, out, a = _power(int(size.max())), np.empty(n, U), 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(end, start[a] + BLOCK_BYTES, "right")))
+        low, high = start[a], end[b - 1]
+        place = np.arange(high - low) - np.repeat(start[a:b] - low, size[a:b])
+        out[a:b] = np.add.reduceat(letter[raw[low:high]] * power[place], start[a:b] - low)
+        a = b
+    return mix(out + size.astype(U))
 
 
 class Words:
