@@ -6,8 +6,8 @@ nearest to it; the candidates found there are scored exactly, in double precisio
 inner products among vectors of different lengths, members are parted by length: within a band of about equal lengths, the
 nearest directions have the largest inner products.
 
-How many buckets a band's queries probe is measured on the vectors at hand: the true neighbours of some queries are found by
-scoring every row, and each band's probes are widened until they reach RECALL of them, if need be to every bucket.
+How many tables and buckets a band's queries probe is measured on the vectors at hand, at every size: the true neighbours of some queries
+are found by scoring every row, and of the choices that reach RECALL of them each band takes the one that looks at the fewest rows.
 
 Buckets are cut into cells of bounded size by counts, members against queries, so a hot bucket becomes many tasks.
 """
@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 
-TABLES, PROBES, CELL = 6, 18, 4096  # PROBES: the fewest
-#: Up to so many vectors in a band, every bucket is probed.
-SMALL = 4000
+#: Tables at most, and rows of a cell.
+TABLES, CELL = 6, 4096
 #: The part of the true neighbours of SAMPLE queries that each band's probes have to reach (0.9 is promised).
-RECALL, SAMPLE = 0.95, 100
+RECALL, SAMPLE = 0.94, 100
 #: Bands of lengths, from the longest down by this ratio; the last one takes all that are shorter.
 BANDS, RATIO = 6, 1.25
 #: Buckets are taken together to so many where all are probed.
@@ -125,40 +124,45 @@ def _true(valid: DataFrame, qi: np.ndarray, qx: np.ndarray, k: int) -> DataFrame
     return _merged(valid.select("vec_id", "v").mapInArrow(run, LISTS), k)
 
 
-def widened(ranks: np.ndarray, every: int) -> tuple[int, int]:
-    """(tables, probes) that reach RECALL of some pairs, from the place (pairs x tables) of each member's bucket among its query's
-    probes; (1, every) where so many probes would cost as much as every bucket."""
-    tables = ranks.shape[1]
-    probes = max(PROBES, int(np.sort(ranks.min(1))[math.ceil(RECALL * len(ranks)) - 1]) + 1)
-    return (tables, probes) if tables * probes < every else (1, every)
+def cheapest(ranks: np.ndarray) -> tuple[int, int]:
+    """(tables, probes) that reach RECALL of some pairs with the fewest buckets looked at, of all tables together.
+
+    ranks: pairs x tables, the place of each member's bucket among its query's probes. Tables pay where near neighbours are near; where
+    none are, one table with many probes looks at fewer rows than several that find the same rows again.
+    """
+    need, best = math.ceil(RECALL * len(ranks)), (math.inf, 1, 1)
+    for tables in range(1, ranks.shape[1] + 1):
+        probes = int(np.sort(ranks[:, :tables].min(1))[need - 1]) + 1
+        best = min(best, (tables * probes, tables, probes))
+    return best[1:]
 
 
-def _plan(valid: DataFrame, index: CrossPolytope, tables: int, k: int, small: int) -> dict[int, tuple[int, int]]:
+def _plan(valid: DataFrame, index: CrossPolytope, tables: int, k: int) -> dict[int, tuple[int, int]]:
     """(tables, probes) of each band. A band without a neighbour of the sampled queries takes the choice made for all bands' pairs."""
     every = 2 * index.width
-    sizes = {r["band"]: r["n"] for r in valid.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most BANDS rows
-    if max(sizes.values()) <= small:
-        return dict.fromkeys(sizes, (1, every))
+    bands = [r["band"] for r in valid.select("band").distinct().collect()]  # at most BANDS rows
     picked = valid.where("asks").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
     qi, qx = np.array([r["vec_id"] for r in picked]), np.array([r["v"] for r in picked])
     pairs = _true(valid, qi, qx, k).join(valid.select("vec_id", "v", "band"), "vec_id").select("query_id", "v", "band").collect()  # at most SAMPLE * k rows
+    if not pairs:
+        return dict.fromkeys(bands, (1, every))
     asking, x = np.searchsorted(qi[(order := np.argsort(qi))], [r["query_id"] for r in pairs]), np.array([r["v"] for r in pairs])
     ranks = np.empty((len(pairs), tables), int)
     for t in range(tables):
         place = np.argsort(index.probes(qx[order], t, every), axis=1)
         ranks[:, t] = place[asking, index.buckets(x, t)]
     band = np.array([r["band"] for r in pairs])
-    return {b: (1, every) if n <= small else widened(ranks[band == b] if (band == b).any() else ranks, every) for b, n in sizes.items()}
+    return {b: cheapest(ranks[band == b] if (band == b).any() else ranks) for b in bands}
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None, small: int = SMALL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that satisfies the SQL condition is_query, the k other rows of largest
     inner product among its candidates, nearest first, ties to the smaller id.
 
     Rows take no part if the id is null or the vector is null, zero, of another dimension than most, or holds a null or
-    non-finite component. Rows that repeat an id count once. At most `tables` tables are used; with `probes`, all of them, and so many
-    probes in each instead of what is measured. Bands of up to `small` vectors are searched whole, and so is everything for a
-    query for which the tables find fewer than k.
+    non-finite component. Rows that repeat an id count once; other columns may have any names. At most `tables` tables are used; with `probes`,
+    all of them, and so many probes in each instead of what is measured. A query for which the tables find fewer than k is held against
+    all rows. No rows, or no query, give no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -176,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     index = CrossPolytope(shape["d"], tables, 1.0, True)
     every = 2 * index.width
     whole = dict.fromkeys(range(BANDS), (1, every))
-    plan = _plan(valid, index, tables, k, small) if probes is None else dict.fromkeys(range(BANDS), (tables, min(probes, every)))
+    plan = _plan(valid, index, tables, k) if probes is None else dict.fromkeys(range(BANDS), (tables, min(probes, every)))
     found = materialise(_search(valid, index, k, plan), "found")
     if any(p < every for _, p in plan.values()):
         short = valid.where("asks").join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")), "vec_id", "left").where(f"coalesce(n, 0) < {min(k, shape['n'] - 1)}").select("vec_id", "v", F.lit(True).alias("asks"))
