@@ -97,8 +97,8 @@ class PrefixCounts:
         #: whether a character stands alone; the library's normal form of a short run
         self.alone, self.normal = {}, {}
         self.table = ChunkTable(self._work)
-        #: counts by the hash of a word, and those of the generation before
-        self.by_hash, self.before = {}, {}
+        #: counts by the bytes of a word, and those of the generation before
+        self.by_word, self.before = {}, {}
         self.plain_word = re.compile(PLAIN_WORD_PATTERN)
 
     @classmethod
@@ -210,7 +210,7 @@ class PrefixCounts:
         return [self.word_count("".join([letters[b] for b in w.encode()])) for w in words]
 
     def _measured_by_hash(self, texts: list[str], budget: int | None) -> list[tuple[int, int]]:
-        """measure() for texts of simple characters: words are found and hashed on bytes, and each distinct one is looked up once."""
+        """measure() for texts of simple characters: words are found and hashed on bytes; each distinct one, told apart byte by byte, is looked up once."""
         parts = [t.lower().encode() for t in texts]
         raw = np.frombuffer(b"".join(parts), np.uint8)
         edge = np.cumsum([0, *map(len, parts)])
@@ -223,22 +223,29 @@ class PrefixCounts:
         if not len(start):
             return [(0, len(t)) for t in texts]
         shown = np.cumsum(inside)  # a word's place among the bytes that are not white space
-        own = shown[start] - 1
-        back, hashes = pd.factorize(hash_runs(raw[inside], own))
+        own, letters_only = shown[start] - 1, raw[inside]
+        size = np.diff(np.append(own, shown[-1]))
+        back, hashes = pd.factorize(hash_runs(letters_only, own))
         first = np.zeros(len(hashes), np.int64)
         first[back[::-1]] = np.arange(len(back))[::-1]
-        if len(self.by_hash) > TABLE_ENTRIES:
-            self.before, self.by_hash = self.by_hash, {}
-        known, before, letters = self.by_hash, self.before, self.letters
-        size = np.diff(np.append(own, shown[-1]))
-        found = []
-        for h, i in zip(hashes.tolist(), first.tolist(), strict=True):
-            n = known.get(h)
+        place = np.arange(len(letters_only)) - np.repeat(own, size)
+        if (size != size[first][back]).any() or (letters_only != letters_only[np.repeat(own[first][back], size) + place]).any():  # two words with one hash
+            every = [letters_only[a:b].tobytes() for a, b in zip(own.tolist(), np.append(own[1:], shown[-1]).tolist(), strict=True)]
+            back, named = pd.factorize(np.array(every, object))
+            first = np.zeros(len(named), np.int64)
+            first[back[::-1]] = np.arange(len(back))[::-1]
+        if len(self.by_word) > TABLE_ENTRIES:
+            self.before, self.by_word = self.by_word, {}
+        known, before, letters = self.by_word, self.before, self.letters
+        whole, found = letters_only.tobytes(), []
+        for at, n_bytes in zip(own[first].tolist(), size[first].tolist(), strict=True):
+            w = whole[at : at + n_bytes]
+            n = known.get(w)
             if n is None:
-                n = before.get(h)
+                n = before.get(w)
                 if n is None:
-                    n = self.word_count("".join([letters[b] for b in raw[start[i] : start[i] + size[i]].tobytes()]))
-                known[h] = n
+                    n = self.word_count("".join([letters[b] for b in w]))
+                known[w] = n
             found.append(n)
         total = np.concatenate(([0], np.cumsum(np.array(found)[back])))  # before each word, over all texts
         first_word = np.searchsorted(start, edge)
