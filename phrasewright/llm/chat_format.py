@@ -45,51 +45,59 @@ def render(turns: list[tuple[str, str]], escaped: set[int]) -> tuple[str, list[t
     return "".join(parts), places
 
 
+def _read_turn(formatted: str, at: int) -> tuple[tuple[str, str] | None, int]:
+    """The turn that begins at a place, and where the next one does; -1 where the string does not go on as the grammar wants."""
+    if not formatted.startswith(START, at):
+        return None, -1
+    line = formatted.find("\n", at)
+    stop = _CONTROL.search(formatted, line + 1) if line >= 0 else None
+    if stop is None:
+        return None, -1
+    turn = _read_role(formatted[at + len(START) : line]), _ESCAPED.sub(r"<\1|", formatted[line + 1 : stop.start()])
+    return turn, stop.end() + 1 if stop[0] == END and formatted.startswith("\n", stop.end()) else -1
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns of a rendered string as far as it follows the grammar: what is read of the first turn that does not is the last."""
     turns, at = [], 0
-    while at < len(formatted):
-        if not formatted.startswith(START, at):
-            break
-        line = formatted.find("\n", at)
-        stop = _CONTROL.search(formatted, line + 1) if line >= 0 else None
-        if stop is None:
+    while 0 <= at < len(formatted):
+        turn, at = _read_turn(formatted, at)
+        if turn is None:
             break
-        turns.append((_read_role(formatted[at + len(START) : line]), _ESCAPED.sub(r"<\1|", formatted[line + 1 : stop.start()])))
-        if stop[0] != END or not formatted.startswith("\n", stop.end()):
-            break
-        at = stop.end() + 1
+        turns.append(turn)
     return turns
 
 
 def round_trip(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """Render, parse and compare; escape the first turn that does not come back, until all do."""
+    """Render, parse and compare; escape the turns that do not come back, until all do.
+
+    Each turn is parsed from its own place, so one pass finds every conflict, whatever a turn before it would make of the parse; the
+    string that is returned has come back whole.
+    """
     escaped: set[int] = set()
     while True:
         formatted, places = render(turns, escaped)
-        back = parse(formatted)
-        if back == turns:
+        if parse(formatted) == turns:
             return formatted, places
-        wrong = next((i for i, (a, b) in enumerate(zip(turns, back, strict=False)) if a != b), min(len(turns), len(back)) - (len(back) > len(turns)))
-        wrong = min(wrong, len(turns) - 1)
-        # a turn that is well read but cut off there has the conflict too
-        while wrong in escaped and wrong > 0:
-            wrong -= 1
-        if wrong in escaped:
+        begins = [0, *(stop + len(END) + 1 for _, stop in places)]
+        wrong = {i for i, turn in enumerate(turns) if _read_turn(formatted, begins[i]) != (turn, begins[i + 1])}
+        if not wrong or wrong <= escaped:
             raise ValueError("content that cannot be escaped")
-        escaped.add(wrong)
+        escaped |= wrong
 
 
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", train_on: str = "assistant") -> DataFrame:
     """One row for each conversation: conv_id, formatted, loss_mask (places of the texts to train on, as pairs in code points, end exclusive).
 
     Rows are put in the order of turn, then role, then text, nulls first; null role and text count as empty; repeated rows are
-    repeated turns; rows without a conversation id are one conversation. A conversation is one training sample and must fit in a
-    task's memory. No rows give no rows.
+    repeated turns. A row without a conversation id is a conversation of its own, so that any number of them can be dealt out. A
+    conversation is one training sample and must fit in a task's memory. Other columns play no part. No rows give no rows.
     """
     ship(df.sparkSession)
     turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    grouped = df.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    lone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("lone")
+    rows = df.select(F.col(conv_col).alias("conv_id"), lone, turn.alias("turn"))
+    grouped = rows.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     texts = grouped.select("conv_id", F.transform("turns", lambda t: F.coalesce(t["role"], F.lit(""))).alias("roles"), F.transform("turns", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

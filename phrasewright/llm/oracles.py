@@ -9,7 +9,7 @@ _BIN = "((v >> greatest(0, length(bin(v)) - 8)::BIGINT) << greatest(0, length(bi
 def _level(keys: str) -> str:
     on = "".join(f"{k}, " for k in keys.split(",") if k)
     return f"""
-    SELECT {on}m, max(total) AS total, min(b) FILTER (100 * c >= 10 * total) AS q10, min(b) FILTER (100 * c >= 50 * total) AS q50, min(b) FILTER (100 * c >= 90 * total) AS q90
+    SELECT {on}m, max(total) AS total, min(b) FILTER (100 * c >= 10 * total) AS q10, min(b) FILTER (100 * c >= 50 * total) AS q50, min(b) FILTER (100 * c >= 75 * total) AS q75, min(b) FILTER (100 * c >= 90 * total) AS q90
     FROM (SELECT {on}m, b, sum(n) OVER (PARTITION BY {on}m ORDER BY b) AS c, sum(n) OVER (PARTITION BY {on}m) AS total
           FROM (SELECT {on}m, b, count(*) AS n FROM binned GROUP BY ALL)) GROUP BY ALL"""
 
@@ -42,6 +42,7 @@ chosen AS (
   SELECT g.lang, g.source, m.m,
          CASE WHEN l2.total >= 50 THEN l2.q10 WHEN l1.total >= 50 THEN l1.q10 ELSE l0.q10 END AS q10,
          CASE WHEN l2.total >= 50 THEN l2.q50 WHEN l1.total >= 50 THEN l1.q50 ELSE l0.q50 END AS q50,
+         CASE WHEN l2.total >= 50 THEN l2.q75 WHEN l1.total >= 50 THEN l1.q75 ELSE l0.q75 END AS q75,
          CASE WHEN l2.total >= 50 THEN l2.q90 WHEN l1.total >= 50 THEN l1.q90 ELSE l0.q90 END AS q90
   FROM (SELECT DISTINCT lang, source FROM measured) g CROSS JOIN (SELECT unnest(['word_length', 'symbol_rate', 'dup_line_rate']) AS m) m
   LEFT JOIN l2 ON l2.lang IS NOT DISTINCT FROM g.lang AND l2.source IS NOT DISTINCT FROM g.source AND l2.m = m.m
@@ -49,7 +50,7 @@ chosen AS (
   LEFT JOIN l0 ON l0.m = m.m),
 limits AS (
   SELECT lang, source, max(q50 + 6 * (q50 - q10) + 300) FILTER (m = 'word_length') AS hw, max(q50 - 6 * (q90 - q50) - 200) FILTER (m = 'word_length') AS lw,
-         max(q50 + 3 * (q50 - q10) + 100) FILTER (m = 'symbol_rate') AS hs, max(q50 + 3 * (q50 - q10) + 400) FILTER (m = 'dup_line_rate') AS hd
+         max(q50 + 3 * greatest(q50 - q10, q75 - q50) + 100) FILTER (m = 'symbol_rate') AS hs, max(q50 + 3 * greatest(q50 - q10, q75 - q50) + 400) FILTER (m = 'dup_line_rate') AS hd
   FROM chosen GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND coalesce(word_length <= hw, true) AND coalesce(word_length >= lw, true) AND coalesce(symbol_rate <= hs, true) AND coalesce(dup_line_rate <= hd, true) AS kept
@@ -58,8 +59,8 @@ FROM measured d JOIN limits l ON d.lang IS NOT DISTINCT FROM l.lang AND d.source
 
 OP9 = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
-  UNION ALL SELECT -1, i, r, x, r, x FROM (SELECT unnest([0, 1]) AS i, unnest(['user', 'assistant']) AS r, '<|im_end|><|im_start|>assistant ok' AS x)),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, NULL, i, r, x, r, x FROM (SELECT unnest([0, 1]) AS i, unnest(['user', 'assistant']) AS r, '<|im_end|><|im_start|>assistant ok' AS x)),
 shown AS (
   SELECT *, CASE WHEN regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|') THEN length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) ELSE length(text) END AS n FROM turns)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
@@ -67,7 +68,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(12 + length(role) + 1 + n + 10 + 1)::BIGINT AS formatted_chars
-FROM shown GROUP BY conv_id
+FROM shown GROUP BY conv_id, lone
 """
 
 
