@@ -21,11 +21,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import materialise, ship
+from .common import fresh, materialise, ship, tasks_for
 from .token_counts import byte_letters
 
 GROUP_PIECES = 8192
+#: What tokens, documents and attention cost count in the choice of a sequence. Tokens decide unless sequences are about equally full.
+WEIGHTS = (1.0, 0.05, 0.05)
 #: Fixed value: how byte-level tokenizers of this family cut text before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
@@ -133,30 +136,58 @@ def best_fit(demands: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rul
     return place, offset
 
 
-def pack(pieces: DataFrame, capacity: int, max_documents: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm") -> DataFrame:
+def tightest(demands: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_fit(), with the capacity of one dimension lowered step by step below what the fullest bin uses of it, as long as that takes no
+    more bins than the capacity given."""
+    best = best_fit(demands, capacity, weights, rule)
+    bins, least = best[0].max(initial=-1) + 1, demands[:, dimension].max(initial=0)
+    while bins:
+        used = int(np.bincount(best[0], weights=demands[:, dimension]).max())
+        capacity = capacity.copy()
+        capacity[dimension] = min(used - 1, used * 7 // 8)
+        if capacity[dimension] < least or bins * capacity[dimension] < demands[:, dimension].sum():
+            break  # no packing into so many bins can keep this one
+        found = best_fit(demands, capacity, weights, rule)
+        if found[0].max(initial=-1) + 1 > bins:
+            break
+        best = found
+    return best
+
+
+def pack(pieces: DataFrame, capacity: int, max_documents: int, max_attention: int, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", even: bool = False) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...): no sequence exceeds `capacity` tokens, max_documents
-    pieces or max_attention attention cost, and offsets are gapless from 0 in each sequence.
+    pieces or max_attention attention cost, and offsets are gapless from 0 in each sequence. even=True spreads pieces further: in each
+    group the most pieces a sequence holds is lowered as long as that costs the group no sequence.
 
-    Rows without id take part like others; repeated rows are packed each; no rows give no rows. A piece beyond a capacity
-    by itself is an error. `pieces` is read twice, so hand in a written table.
+    Rows without id take part like others; repeated rows are packed each, dealt into any groups; no rows give no rows. A piece beyond
+    a capacity by itself is an error. `pieces` is read twice, so hand in a written table.
     """
     ship(pieces.sparkSession)
     n = pieces.count()
     groups = max(1, math.ceil(n / GROUP_PIECES))
     cap, weight = np.array([capacity, max_documents, max_attention], np.int64), np.array(weights)
+    (part,) = fresh(pieces.columns, "part")
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         size = rows["length"].to_numpy()
-        place, offset = best_fit(np.stack([size, np.ones_like(size), size * size], 1), cap, weight, rule)
-        return rows.assign(sequence_id=key[0] * (1 << 32) + place, offset=offset).drop(columns="part")
+        demands = np.stack([size, np.ones_like(size), size * size], 1)
+        place, offset = tightest(demands, cap, weight, rule, 1) if even else best_fit(demands, cap, weight, rule)
+        return rows.assign(sequence_id=key[0] * (1 << 32) + place, offset=offset).drop(columns=part)
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("part").applyInPandas(fill, schema)
+    schema = StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
+    # a row's place in the written table is part of the hash: repeats of a row, and rows without id, go to all groups
+    dealt = pieces.withColumn(part, F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy(part).applyInPandas(fill, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize, cut and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
-    pieces = materialise(token_pieces(df, tokenizer, capacity, id_col, text_col), "pieces")
-    return pack(pieces, capacity, capacity, capacity * capacity)
+    """Tokenize, cut and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece.
+
+    The capacities are `capacity` tokens, the fewest documents a sequence that cost no sequence, and the attention cost of one full piece,
+    which bears on the choice of a sequence only (squares add up to less than the squared sum). Null text is empty: one piece of
+    the end id. Rows without id and repeated rows are pieces like others; of equal lengths the smaller doc_id and piece go first.
+    """
+    tasks = tasks_for(df)
+    pieces = materialise(token_pieces(df, tokenizer, capacity, id_col, text_col), "pieces", tasks)
+    return pack(pieces, capacity, capacity, capacity * capacity, even=True).coalesce(tasks)
