@@ -2,12 +2,15 @@
 
 Two collections A and B of m short bands (k minhashes each) give m * m table keys, one for each pair (A_i, B_j):
 2 * m * k minhashes stand in for the m * m * 2k that as many independent tables would need. Two documents of
-similarity s meet in some table with probability (1 - (1 - s^k)^m)^2: 0.9999 at 0.75 for k = 2, m = 12.
+similarity s meet in some table with probability (1 - (1 - s^k)^m)^2. For k = 4, m = 18 that is 0.998 at 0.75, 0.9999 at 0.8,
+and for unlike ones 0.02 at 0.3, 0.0008 at 0.2, 0.000003 at 0.1.
 
 Equal sets are one class from the start. Within a table key only a star is followed first (each document with the
-smallest); after verification, clusters of colliding documents that still hold several components are taken up again, and
-there every document outside the largest component is held against the whole cluster, by counting shared shingles
-in an inverted index. So components are those of all colliding pairs, without pairing a group of copies with itself.
+smallest). After verification, table keys of three documents or more that still hold several components are taken up again:
+there every document outside the largest component is held against all others, by counting shared shingles in an inverted
+index. That is done key by key where keys are sparse, and once for a whole cluster of keys where they overlap so much that this is less
+work (as in a family of texts that share most of their keys). So components are those of all pairs that share a key, without
+pairing a group of copies with itself, and texts that have little in common do not become one group to be compared.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import few, fresh, materialise, ship, tasks_for
 from .components import connected_components
 from .meeting import SENT, bucket_count, meet, send
 from .wordhash import U, Words, mix, runs
 
-K, M, SHINGLE, PERCENT = 2, 12, 5, 75
-#: Documents on each side of a cell in which components are held against each other.
-BLOCK = 256
+K, M, SHINGLE, PERCENT = 4, 18, 5, 75
+#: Shingles on each side of a cell in which components are held against each other, or one text's if that has more.
+BLOCK = 512 << 10
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +96,27 @@ def _rng_values(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([8, seed]).integers(0, 2**63, n, dtype=np.int64).astype(U) * U(2) + U(seed)
 
 
-def _stars(reps: DataFrame, m: int) -> DataFrame:
-    n = bucket_count(reps.sparkSession)
+def _signed_keys(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of batches of (doc_id, signature, ...) with the table keys of each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield part, _keys(np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(part.num_rows, -1), m)
+
+
+def _stars(reps: DataFrame, m: int, n: int) -> DataFrame:
+    """(smallest, other) of each table key's documents; n: buckets. Keys are told apart by their bucket and 32 bits: what meets is verified."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(part.num_rows, -1)
-                keys = _keys(sig, m)
-                yield send(keys.ravel(), np.repeat(part.column(0).to_numpy(), keys.shape[1]), n, "star", True)
+        for part, keys in _signed_keys(batches, m):
+            yield send(keys.ravel(), np.repeat(part.column(0).to_numpy(), keys.shape[1]), n, "star", False)
 
-    return meet(reps.select("doc_id", "signature").mapInArrow(tables, SENT), "star", True).distinct()
+    return meet(reps.select("doc_id", "signature").mapInArrow(tables, SENT), "star", False).distinct()
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The sorted shingle hashes of some class representatives, from their texts."""
+    """The sorted shingle hashes of some class representatives (a written table of doc_id and set_hash), from their texts. Where they are
+    few, they are sent to the texts, and no text is exchanged."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +128,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
                 rows = [(a + int(d), h[x:y].tobytes()) for d, x, y, z in zip(own, start, end, both, strict=True) if z.tobytes() == wanted[a + d]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([len(r[1]) // 8 for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "shingles"])
 
-    return docs.join(nodes, "doc_id").select("doc_id", "text", "set_hash").mapInArrow(build, "doc_id long, n long, shingles binary")
+    return docs.join(F.broadcast(nodes) if few(nodes) else nodes, "doc_id").select("doc_id", "text", "set_hash").mapInArrow(build, "doc_id long, n long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,23 +151,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def _across(multi: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one cluster, at least one for each document and component it links to.
+def _keyed(members: DataFrame, m: int) -> DataFrame:
+    """key, doc_id, component, cluster, n of documents (doc_id, signature, component, cluster, n) for each of their table keys."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys in _signed_keys(batches, m):
+            own = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(part.column(i).take(own) for i in (0, 2, 3, 4))], names=["key", "doc_id", "component", "cluster", "n"])
 
-    multi: doc_id, shingles, component, cluster; a cluster holds all documents that table keys connect. Documents outside
-    a cluster's largest component probe all of the cluster. Both sides are dealt into blocks, and each cell of the grid
-    counts shared shingles by an inverted index of its members, so that no pair is ever a row.
+    return members.select("doc_id", "signature", "component", "cluster", "n").mapInArrow(tables, "key long, doc_id long, component long, cluster long, n long")
+
+
+def _groups(members: DataFrame, m: int, tasks: int, short: int) -> DataFrame:
+    """group (level and id), doc_id, component, n: the documents (doc_id, signature, component, cluster, n: shingles) that are to be held against each other.
+
+    Open are the keys that hold three documents or more and more than one component; keys with the same documents count once. Where holding
+    a cluster's documents against each other once is no more work than doing so for each of its open keys, the cluster is one group;
+    else each open key is one.
+    """
+    keyed = _keyed(members, m)
+    each = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("same"), F.min("cluster").alias("cluster"))
+    per = each.groupBy("key").agg(F.sum("members").alias("members"), F.count(F.lit(1)).alias("components"), F.bit_xor("same").alias("same"), F.min("cluster").alias("cluster"))
+    open_ = materialise(per.where("members > 2 and components > 1").groupBy("cluster", "members", "same").agg(F.min("key").alias("key")), "keys", short)
+    work = open_.groupBy("cluster").agg(F.sum(F.col("members").cast("double") * F.col("members")).alias("work"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    work = materialise(work.join(sizes, "cluster").select("cluster", (F.col("size") * F.col("size") <= F.col("work")).alias("dense")), "work", short)
+    group = lambda level, c: F.struct(F.lit(level).alias("level"), F.col(c).alias("id")).alias("group")
+    whole = members.join(work.where("dense"), "cluster").select(group(0, "cluster"), "doc_id", "component", "n")
+    sparse = open_.join(work.where("not dense"), "cluster").select("key")
+    return materialise(whole.unionByName(keyed.join(sparse, "key").select(group(1, "key"), "doc_id", "component", "n")), "groups", tasks)
+
+
+def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a group, at least one for each document and component it links to.
+
+    Documents outside a group's largest component probe all of the group. Both sides are dealt into blocks of about BLOCK shingles, and
+    each cell of the grid counts shared shingles by an inverted index of its members, so that no pair is ever a row.
     """
-    sizes = multi.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    of = sizes.groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top")).where("members > top.n and members > 2")
-    of = of.select("cluster", (-F.col("top.c")).alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int").alias("pb"))
-    rows = multi.join(of, "cluster")
+    parts = groups.groupBy("group", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    of = parts.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("docs", (-F.col("component")).alias("c"), "n")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    of = of.select("group", (-F.col("top.c")).alias("main"), blocks(F.col("n")).alias("mb"), blocks(F.col("n") - F.col("top.n")).alias("pb"))
     deal = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probing = rows.where("component <> main").withColumn("j", deal("pb")).withColumn("i", spread("mb"))
-    members = rows.withColumn("i", deal("mb")).withColumn("j", spread("pb"))
-    pick = lambda d, role: d.select("cluster", "i", "j", F.lit(role).alias("role"), "doc_id", "component", "shingles")
-    cells = pick(members, 0).unionByName(pick(probing, 1)).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "role")
+    at = lambda role, i, j: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    probing = F.when(F.col("component") != F.col("main"), each("mb", lambda i: at(1, i, deal("pb")))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>"))
+    placed = groups.join(of, "group").select("group", "doc_id", "component", F.explode(F.concat(each("pb", lambda j: at(0, deal("mb"), j)), probing)).alias("at"))
+    keys = ("level", "id", "i", "j")
+    cells = placed.join(sets.select("doc_id", "shingles"), "doc_id").select("group.level", "group.id", "at.i", "at.j", "at.role", "doc_id", "component", "shingles")
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys, "role")
 
     def cell(members: list, probing: list) -> Iterator[pa.RecordBatch]:
         if not probing:
@@ -185,10 +225,11 @@ def _across(multi: DataFrame, percent: int) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sides = None, ([], [])
         for batch in batches:
-            for cluster, i, j, role, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (cluster, i, j) != at:
+            for *own, role, doc, component, shingles in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if own != at:
                     yield from cell(*sides)
-                    at, sides = (cluster, i, j), ([], [])
+                    at, sides = own, ([], [])
+                row = doc, component, shingles
                 sides[role].append(row)
         yield from cell(*sides)
 
@@ -208,20 +249,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0 < percent <= 100:
         raise ValueError("percent must lie between 1 and 100")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(signatures(docs, shingle, k, m), "signed")
+    tasks, short, buckets = tasks_for(docs), tasks_for(docs, True), bucket_count(docs)
+    signed = materialise(signatures(docs, shingle, k, m), "signed", tasks)
     classes = signed.where("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-    reps = materialise(classes, "classes")
-    stars = materialise(_stars(reps, m), "stars")
-    nodes = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = materialise(_sets(nodes.join(reps.select("doc_id", "set_hash"), "doc_id"), docs.where("doc_id is not null"), shingle), "sets")
-    links = materialise(_verified(stars, sets, percent), "verified")
-    found = materialise(connected_components(links), "components")
+    reps = materialise(classes, "classes", tasks)
+    stars = materialise(_stars(reps, m, buckets), "stars", short)
+    nodes = materialise(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct().join(reps.select("doc_id", "set_hash"), "doc_id"), "nodes", short)
+    sets = materialise(_sets(nodes, docs.where("doc_id is not null"), shingle), "sets", tasks)
+    links = materialise(_verified(stars, sets, percent), "verified", tasks)
+    found = materialise(connected_components(links, short), "components", short)
     component = F.coalesce("component", "doc_id").alias("component")
-    clusters = connected_components(stars).withColumnRenamed("component", "cluster")
-    multi = sets.select("doc_id", "shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    more = materialise(_across(multi.select("doc_id", "shingles", component, "cluster"), percent), "more")
-    if not more.isEmpty():
-        found = materialise(connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+    # all documents of a key are in one cluster of stars; only clusters of several components can have open keys
+    clusters = connected_components(stars, short).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    grouped = materialise(clusters.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", component, "cluster"), "grouped", short)
+    open_ = grouped.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).where("docs > 2 and low <> high").select("cluster")
+    open_ = materialise(open_, "clusters", short)
+    if not open_.isEmpty():
+        members = grouped.join(open_, "cluster").join(reps.select("doc_id", "signature"), "doc_id").join(sets.select("doc_id", "n"), "doc_id")
+        groups = _groups(materialise(members, "members", tasks), m, tasks, short)
+        more = materialise(_across(groups, sets, percent), "more", tasks)
+        if not more.isEmpty():
+            found = materialise(connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), short), "components", short)
     of_class = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_hash", component)
     out = signed.join(of_class, "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -230,7 +278,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that near_duplicates() keeps, as they are: one document of each group of near copies.
 
-    Rows that repeat an id are kept or dropped together; rows without id stay.
+    Rows that repeat an id are kept or dropped together; rows without id stay. Columns may have any names.
     """
-    gone = near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (name,) = fresh(df.columns, "gone")
+    gone = materialise(near_duplicates(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone", tasks_for(df, True))
+    return df.join(F.broadcast(gone) if few(gone) else gone, F.col(id_col) == F.col(name), "left_anti").coalesce(tasks_for(df))
