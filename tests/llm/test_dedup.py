@@ -54,6 +54,49 @@ def test_near_on_edited_copies(spark):
     assert kept == {d for d, (_, c) in brute.near(rows).items() if d == c}
 
 
+def families(n, seed):
+    """Families of a smaller document that is not near enough, and two that are near to each other: all share most of their keys."""
+    r, out = random.Random(seed), []
+    for i in range(n):
+        w = [f"f{i}w{r.randrange(1000)}" for _ in range(200)]
+        far = w[:150] + [f"f{i}o{k}" for k in range(50)]
+        near = w[:196] + [f"f{i}n{k}" for k in range(4)]
+        out += [(3 * i + k, " ".join(x)) for k, x in enumerate((far, w, near))]
+    return out
+
+
+def test_near_links_that_no_star_has(spark):
+    rows = families(100, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()}
+    assert got == {d: c for d, (_, c) in brute.near(rows).items()} and sum(d != c for d, c in got.items()) >= 100
+
+
+def test_unlike_texts_with_common_parts_are_not_compared(spark):
+    """Work on texts that share a third of their words grows as they do: few of them share a key."""
+    from phrasewright.llm.common import materialise
+    from phrasewright.llm.near_dedup import _stars, signatures
+
+    common = " ".join(f"c{i}" for i in range(60))
+    pairs = {}
+    for n in (500, 5000):
+        r = random.Random(n)
+        docs = spark.createDataFrame([(i, common + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(140))) for i in range(n)], "doc_id long, text string")
+        pairs[n] = _stars(materialise(signatures(docs), "signed"), 18, 64).count()
+    assert pairs[500] <= 50 and pairs[5000] <= 40 * max(pairs[500], 10)
+
+
+def test_dedup_beside_columns_of_any_name(spark):
+    names = ["gone", "_gone", "of", "marks", "_of", "_marks", "h", "n_shingles", "component_id"]
+    passage = " ".join(f"p{i}" for i in range(13))
+    df = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, passage + " a" * 30), (4, "b " * 30 + passage), (None, None)], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    out = keep_first_of_each(df)
+    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {1, 3, 4, None} and all(r[c] == c for r in out.collect() for c in names)
+    out = remove_repeats(df)
+    assert out.columns == [*df.columns, "n_words", "n_removed", "n_windows"] and all(r[c] == c for r in out.collect() for c in names)
+    assert {r["doc_id"]: r["text"] for r in out.collect()}[4].split() == ["b"] * 30
+
+
 def test_near_odd_rows(spark):
     df = spark.createDataFrame([*ODD, ODD[3], (5, "ONE  two", "y")], "doc_id long, text string, n_shingles string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)

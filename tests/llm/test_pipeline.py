@@ -1,9 +1,12 @@
+import os
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from phrasewright.llm.common import made_so_far, materialise
+from phrasewright.llm.common import materialise, released, shared_folder
 from phrasewright.llm.quality_rules import quality_verdicts
 
 from ..holding import DATA
@@ -43,7 +46,39 @@ def test_run_is_the_stages(spark):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 < out.count()
 
 
-def test_run_leaves_only_its_result(spark):
-    before = made_so_far()
+def written(spark):
+    folder = shared_folder(spark).removeprefix("file://")
+    return {f for f in os.listdir(folder)} if os.path.isdir(folder) else set()
+
+
+def test_run_leaves_only_its_result_and_touches_no_other(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    other = materialise(docs.limit(3), "other")
+    before = written(spark)
     out = corpus_pipeline.run(spark, DATA)
-    assert made_so_far() == before + 1 and out.count() > 0
+    assert len(written(spark) - before) == 1 and before <= written(spark) and out.count() > 0 and other.count() == 3
+    with released(spark) as kept:
+        mine = materialise(docs.limit(2), "mine")
+        kept.append(materialise(docs.limit(1), "kept"))
+        during = written(spark)
+    assert written(spark) == {f for f in during if not f.startswith("mine")} and mine.__dict__["shared_path"].rsplit("/", 1)[1] in during
+
+
+def test_stages_on_odd_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    word = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [
+        (1, None, "en", "a"), (2, "", None, None), (3, word("x"), "en", None), (3, word("x"), "en", None), (4, word("x"), "en", "b"), (None, word("y") + " token=abcdefgh12", None, "b"),
+        (5, word("z") + " " + passage, "en", "a"), (6, passage + " " + word("q"), "en", "a"), (7, " ".join(np.base_repr(i, 36) for i in range(30_000)), "fr", "a"), (None, None, None, None),
+    ]
+    names = ["row", "q", "gone", "of", "marks", "rules", "spans", "secrets", "n_words", "part", "text2"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text")).withColumns({c: F.lit(c) for c in names})
+    columns, empty = docs.columns, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = materialise(stage(spark, docs, DATA), "step"), materialise(stage(spark, empty, DATA), "step")
+        assert sorted(docs.columns) == sorted(columns) and sorted(empty.columns) == sorted(columns) and empty.count() == 0, name
+        assert all(r[c] == c for r in docs.collect() for c in names if c in docs.columns), name
+    left = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert left == {(3, word("x")), (None, word("y") + " [SECRET]"), (5, rows[6][1]), (6, word("q")), (7, rows[8][1])} and docs.where("doc_id = 3").count() == 2
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert packed.where("doc_id is null").count() == 1 and corpus_pipeline.STAGES[-1][1](spark, empty, DATA).count() == 0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from phrasewright.llm.common import materialise
-from phrasewright.llm.packing import ByteBpe, best_fit, pack, pack_documents
+from phrasewright.llm.packing import WEIGHTS, ByteBpe, best_fit, pack, pack_documents, tightest
 from phrasewright.llm.queries import QUERIES
 from phrasewright.llm.sentence_pieces import Pieces, encode_decode
 from phrasewright.llm.token_counts import PrefixCounts, count_tokens
@@ -95,6 +96,32 @@ def test_packing_under_several_constraints(spark):
     assert sum(map(len, by.values())) == 400 and all(sum(v) <= 100 and len(v) <= 5 and sum(n * n for n in v) <= 3000 for v in by.values())
 
 
+def test_other_dimensions_bear_on_the_query(spark, docs):
+    tok, capacity = Tokenizer.from_file(BPE), np.array([2048, 2048, 2048 * 2048])
+    size = np.sort([n for _, n, _ in brute.pieces(docs, lambda t: tok.encode(t, add_special_tokens=False).ids, 2048).values()])[::-1]
+    need = np.stack([size, np.ones_like(size), size * size], 1)
+    alone, together = best_fit(need, capacity, np.array([1.0, 0, 0]))[0], best_fit(need, capacity, np.array(WEIGHTS))[0]
+    assert (alone != together).any() and alone.max() == together.max()  # other sequences are chosen, and no more of them
+    # documents bind where that costs nothing: short pieces are spread over the sequences with room
+    size = np.array([1000] * 10 + [1] * 100)
+    need = np.stack([size, np.ones_like(size), size * size], 1)
+    most = [np.bincount(f(need, capacity, np.array(WEIGHTS), "norm", *more)[0]).max() for f, more in ((best_fit, ()), (tightest, (1,)))]
+    assert most[0] > 40 and most[1] < 30 and tightest(need, capacity, np.array(WEIGHTS), "norm", 1)[0].max() == 4
+    assert len(tightest(need[:0], capacity, np.array(WEIGHTS), "norm", 1)[0]) == 0
+
+
+def test_repeats_and_rows_without_id_are_dealt_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr("phrasewright.llm.packing.GROUP_PIECES", 50)
+    rows = [(7, 0, 0, 30, 1)] * 300 + [(None, 0, 0, 20, 1)] * 300
+    pieces = materialise(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, part long"), "t")
+    out = pack(pieces, 100, 100, 10_000)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["part"]))
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"] and sum(map(len, by.values())) == 600 and all(x[2] == 1 for v in by.values() for x in v)
+    assert all(sum(n for _, n, _ in v) <= 100 for v in by.values()) and max(Counter(s >> 32 for s, v in by.items() for _ in v).values()) < 120
+
+
 def test_pieces_query(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = {}
@@ -112,6 +139,13 @@ def test_pieces_agree_with_the_library():
         assert (ids, decoded) == (np.array(sp_ids(sp, t), "<u4").tobytes(), sp.decode(sp_ids(sp, t))), t
 
 
+def test_pieces_of_long_texts_in_other_scripts():
+    sp, own, r = sentencepiece.SentencePieceProcessor(model_file=MODEL), Pieces.of(MODEL), random.Random(4)
+    long = ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(100_000)), "नमस्ते दुनिया " * 8000, "สวัสดีครับ" * 10_000, "привет мир, " * 9000]
+    for t, (ids, decoded) in zip(long, own.all(long), strict=True):
+        assert (ids, decoded) == (np.array(sp_ids(sp, t), "<u4").tobytes(), sp.decode(sp_ids(sp, t))), t[:20]
+
+
 def test_pieces_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "", 1), (2, "a  b", 1)], "doc_id long, text string, ids int")
     assert sorted(((r["doc_id"], r["n_tokens"], r["decoded"]) for r in encode_decode(df, MODEL).collect()), key=str) == [(1, 2, ""), (1, 2, ""), (2, 5, "a  b"), (None, 2, "")]
@@ -158,6 +192,13 @@ def test_long_texts_in_any_script_are_counted_once():
             assert prefixes[i] == len(tok.encode(t[:i], add_special_tokens=False).ids), (t[:20], i)
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    tok = Tokenizer.from_file(WORDS)
+    monkeypatch.setattr("phrasewright.llm.token_counts.hash_runs", lambda raw, start: np.zeros(len(start), np.uint64))
+    for t in ("the internationalization of it, 12 times", "same same"):
+        assert list(PrefixCounts(WORDS).counts([t])) == [len(tok.encode(t, add_special_tokens=False).ids)]
+
+
 def test_counts_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "word " * 3000, 1), (2, "word " * 3000, 1)], "doc_id long, text string, n_tokens int")
     got = sorted(map(tuple, count_tokens(df, WORDS, 2048).collect()), key=str)
