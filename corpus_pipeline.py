@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasewright.llm.common import made_so_far, materialise, release, table, vocabulary
+from phrasewright.llm.common import discard, fresh, materialise, released, table, vocabulary
 from phrasewright.llm.near_dedup import keep_first_of_each
 from phrasewright.llm.packing import pack_documents
 from phrasewright.llm.quality_rules import keep_good
@@ -37,8 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; a document of which nothing is left goes."""
-    out = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    return _recount(out.select(*docs.columns))
+    all_words, lost, _ = added = tuple(fresh(docs.columns, "n_words", "n_removed", "n_windows"))
+    out = remove_repeats(docs, added=added).where(f"{lost} = 0 or {lost} < {all_words}")
+    return _recount(out.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +63,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder before the next one reads it; what a stage wrote on its way is then deleted."""
-    docs, mark = table(spark, sf_dir, "documents"), made_so_far()
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
-        release(spark, mark, docs)
+    docs = table(spark, sf_dir, "documents")
+    with released(spark) as result:
+        for _, stage in STAGES:
+            with released(spark) as kept:
+                after = materialise(stage(spark, docs, sf_dir), "stage")
+                kept.append(after)
+            discard(docs)
+            docs = after
+        result.append(docs)
     return docs
