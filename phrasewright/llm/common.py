@@ -16,7 +16,7 @@ from ..shipping import ship as ship_source
 __all__ = ["discard", "few", "fresh", "materialise", "partitions", "plan_bytes", "released", "shared_folder", "ship", "table", "tasks_for", "vocabulary"]
 
 #: Text that a task of a derived table should hold at least; smaller ones are taken together, so that tables do not fall into many small files.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20
 #: Bytes of files for each core below which a table is small.
 SMALL_SHARE = 4 << 20
 #: Up to so many rows of an id and a few short values (64 bytes each, with room to spare), a counted table is sent to every task.

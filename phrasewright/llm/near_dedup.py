@@ -28,8 +28,9 @@ from .meeting import SENT, bucket_count, meet, send
 from .wordhash import U, Words, mix, runs
 
 K, M, SHINGLE, PERCENT = 4, 18, 5, 75
-#: Shingles on each side of a cell in which components are held against each other, or one text's if that has more.
-BLOCK = 512 << 10
+#: Shingles on each side of a cell in which components are held against each other, or one text's if that has more; and into how many blocks a
+#: side of a sixteenth of that for each is cut even so, that one group does not become one task.
+BLOCK, SPREAD = 512 << 10, 8
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +191,7 @@ def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     parts = groups.groupBy("group", "component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
     of = parts.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("docs", (-F.col("component")).alias("c"), "n")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.least(F.lit(SPREAD), F.ceil(n * 16 / BLOCK))).cast("int")
     of = of.select("group", (-F.col("top.c")).alias("main"), blocks(F.col("n")).alias("mb"), blocks(F.col("n") - F.col("top.n")).alias("pb"))
     deal = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
     at = lambda role, i, j: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
