@@ -34,11 +34,10 @@ def expand(patterns: DataFrame, nouns: DataFrame) -> DataFrame:
     """
     takes = F.array_distinct(F.filter(F.transform(F.split(_text("takes"), "\\|"), lambda t: F.trim(t)), lambda t: t != ""))
     p = patterns.select("ord", "id", *(f"{x}_{g}" for x in ("hi", "mr") for g in "mfn"), F.col("en").alias("pattern_en"), "form", "note", takes.alias("takes"))
-    categories = nouns.select(_text("category").alias("category")).distinct()
-    named = p.where(F.size("takes") > 0).withColumn("category", F.explode("takes"))
-    open_to_all = p.where(F.size("takes") == 0).join(categories)
+    every = nouns.agg(F.collect_set(_text("category"))).scalar()  # a handful of names, as one value
+    named = p.withColumn("category", F.explode(F.when(F.size("takes") > 0, F.col("takes")).otherwise(every)))
     n = nouns.select(F.col("ord").alias("noun_ord"), "hi", "mr", "en", "hi_gender", "mr_gender", "mr_oblique", "honorific", _text("category").alias("category"))
-    j = named.unionByName(open_to_all).join(n, "category")
+    j = named.join(n, "category")
     hi, mr = _form("hi", _text("hi_gender")), _form("mr", _text("mr_gender"))
     stem = F.when(F.col("form").isin("oblique", "dative"), F.coalesce(F.nullif(_text("mr_oblique"), F.lit("")), F.col("mr"))).otherwise(F.col("mr"))
     j = j.withColumns({"_hi": hi, "_mr": mr, "_stem": F.coalesce(stem, F.lit(""))}).where("_hi <> '' and _mr <> ''")
