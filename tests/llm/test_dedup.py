@@ -97,6 +97,14 @@ def test_dedup_beside_columns_of_any_name(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()}[4].split() == ["b"] * 30
 
 
+def test_what_is_too_much_to_send_is_exchanged(spark, monkeypatch):
+    rows = made_up(150, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr("phrasewright.llm.near_dedup.few", lambda written: False)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect()} == brute.near(rows)
+    assert {r[0] for r in keep_first_of_each(df).select("doc_id").collect()} == {d for d, (_, c) in brute.near(rows).items() if d == c}
+
+
 def test_near_odd_rows(spark):
     df = spark.createDataFrame([*ODD, ODD[3], (5, "ONE  two", "y")], "doc_id long, text string, n_shingles string")
     got = sorted(map(tuple, near_duplicates(df).collect()), key=str)
