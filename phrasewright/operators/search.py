@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -121,11 +123,15 @@ class PhraseIndex:
         spark = self.rows.sparkSession
         self.rows.write.parquet(f"{path}/rows")
         rows = spark.read.parquet(f"{path}/rows")
-        for table, name, key in ((postings(rows), "postings", "gram"), (word_postings(rows), "words", "word")):
+
+        def write(table: DataFrame, name: str, key: str, count: Callable[[DataFrame], DataFrame], counted: str) -> None:
             table.repartitionByRange("side", key).sortWithinPartitions("side", key).write.parquet(f"{path}/{name}")
-        # counts are a few rows of a key each: one file is read in one task
-        gram_counts(spark.read.parquet(f"{path}/postings")).repartitionByRange("side", "gram").sortWithinPartitions("side", "gram").write.parquet(f"{path}/counts")
-        word_counts(spark.read.parquet(f"{path}/words")).write.parquet(f"{path}/vocabulary")
+            count(spark.read.parquet(f"{path}/{name}")).write.parquet(f"{path}/{counted}")
+
+        # the two kinds of postings have nothing to do with each other, so that one's small jobs fill the gaps of the other's
+        with ThreadPoolExecutor(2) as pool:
+            for done in [pool.submit(write, postings(rows), "postings", "gram", gram_counts, "counts"), pool.submit(write, word_postings(rows), "words", "word", word_counts, "vocabulary")]:
+                done.result()
         return self.load(spark, path)
 
     @classmethod
