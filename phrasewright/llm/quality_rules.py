@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tasks_for
+from .common import few, materialise, tasks_for
 
 SPACE = r"[ \\t\\n\\x0B\\f\\r]"  # inside a SQL string literal
 #: Below so many texts a group's sketch is not trusted unless a caller says otherwise; that of its language, then that of all texts takes its place.
@@ -100,6 +100,7 @@ def judge(measured: DataFrame, levels: int, least: int, short: int) -> DataFrame
     `least` that do, uses its language's fences, then those of all texts. Repeated rows are judged alike.
     """
     limits = fences(measured, levels, least, short).select(*(F.col(f"g{i}").alias(f"f{i}") for i in range(levels)), *(f"{x}_{m}" for m in FENCES for x in ("low", "high")))
+    limits = materialise(limits, "fences", short)  # a row for each group; where they are few, rows stay where they are
     on = F.lit(True)
     for i in range(levels):
         on = on & F.col(f"g{i}").eqNullSafe(F.col(f"f{i}"))
@@ -108,7 +109,7 @@ def judge(measured: DataFrame, levels: int, least: int, short: int) -> DataFrame
         inside = inside & F.coalesce(F.col(f"q.{m}") <= F.col(f"high_{m}"), F.lit(True))
         if lower is not None:
             inside = inside & F.coalesce(F.col(f"q.{m}") >= F.col(f"low_{m}"), F.lit(True))
-    return measured.join(limits, on, "left").select("row", "q", (~F.col("q.base_failed") & inside).alias("kept"))
+    return measured.join(F.broadcast(limits) if few(limits) else limits, on, "left").select("row", "q", (~F.col("q.base_failed") & inside).alias("kept"))
 
 
 def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), least: int = LEAST_TEXTS) -> DataFrame:
