@@ -20,7 +20,7 @@ from .common import ship
 
 #: The sample that is learned from: of each language so many distinct texts are looked at, each up to so many characters, until so many
 #: characters are found; of more languages than this, less of each.
-SAMPLE_TEXTS, LONGEST_TEXT, SAMPLE_CHARS, MOST_LANGUAGES = 400, 20_000, 50_000, 64
+SAMPLE_TEXTS, LONGEST_TEXT, SAMPLE_CHARS, MOST_LANGUAGES = 400, 4_000, 20_000, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
