@@ -96,6 +96,10 @@ def total_postings(counts: DataFrame) -> DataFrame:
 MOST_GRAMS = 1 << 18
 #: Candidates that are taken from the postings at most, and the part of all rows below which that beats looking at the rows themselves.
 MOST_CANDIDATES, SELECTIVE = 200_000, 0.05
+#: Rows that are sooner asked for a few grams than a job on the postings begins.
+LEAST_ROWS = 500_000
+#: Results up to which one task orders them: ranges for several would be sampled first, which scores every row twice.
+MOST_SORTED = 1_000_000
 #: Words that a text's tokens match, fuzzily too, up to which rows are asked for them one by one.
 MOST_WORDS = 2000
 
@@ -186,20 +190,24 @@ class PhraseIndex:
         met = [F.max(F.col("gram").isin(p)) if p else F.lit(False) for p in probes]
         return hit.groupBy("idx").agg(reduce(lambda a, b: a & b, met).alias("all")).where("all").select("idx")
 
+    def _pays(self, most: int) -> bool:
+        """Whether so many candidates at most are better taken from postings than from the rows."""
+        return self.size > LEAST_ROWS and most <= min(MOST_CANDIDATES, SELECTIVE * self.size)
+
     def _pool(self, query: Query) -> tuple[DataFrame, bool]:
         """The rows met under every token, and whether they are few. Few are taken from the postings and sent to the rows; of many, the rows
         themselves are asked for the same grams, which needs no exchange."""
         probes = self.probes(query)
         if probes is None:
-            return self.rows, False
+            return self.rows, self.size <= MOST_SORTED
         if not all(probes):
             return self.rows.where(F.lit(False)), True
         most = self.at_most(query, probes)
-        if most <= min(MOST_CANDIDATES, SELECTIVE * self.size):
+        if self._pays(most):
             return self.rows.join(F.broadcast(self.candidates(query)), "idx", "left_semi"), True
         side = _side(query)
         held = [" OR ".join(f"contains({side}[{i}], {quoted(g)})" for g in p for i in range(SIDES[side])) for p in probes]
-        return self.rows.where(F.expr(" AND ".join(f"({h})" for h in held))), most <= MOST_CANDIDATES
+        return self.rows.where(F.expr(" AND ".join(f"({h})" for h in held))), most <= MOST_SORTED
 
     def _complete_pool(self, query: Query) -> tuple[DataFrame, bool]:
         """The rows that can score. All rules of a row hold through one of its words, so distinct words are tried, fuzzy ones included. Where
@@ -209,16 +217,16 @@ class PhraseIndex:
         tried = self.vocabulary.where(F.col("side") == side).select("word", "df", *(c.alias(n) for n, c in hit.items())).where(" OR ".join(hit))
         found = tried.limit(MOST_WORDS + 1).collect()  # bounded
         if len(found) > MOST_WORDS:
-            return self.rows, False
+            return self.rows, self.size <= MOST_SORTED
         words = [[r["word"] for r in found if r[f"hit{i}"]] for i in tokens]
         if not all(words):
             return self.rows.where(F.lit(False)), True
         most = min(sum(r["df"] for r in found if r[f"hit{i}"]) for i in tokens)
-        if most <= min(MOST_CANDIDATES, SELECTIVE * self.size):
+        if self._pays(most):
             met = self.words.where((F.col("side") == side) & F.col("word").isin([r["word"] for r in found])).groupBy("idx").agg(*(F.max(F.col("word").isin(w)).alias(f"hit{i}") for i, w in enumerate(words)))
             return self.rows.join(F.broadcast(met.where(" AND ".join(hit)).select("idx")), "idx", "left_semi"), True
         holds = [F.arrays_overlap(F.col(f"{side}_words"), F.array(*map(F.lit, w))) for w in words]
-        return self.rows.where(reduce(lambda a, b: a & b, holds)), most <= MOST_CANDIDATES
+        return self.rows.where(reduce(lambda a, b: a & b, holds)), most <= MOST_SORTED
 
     def search(self, text: str | None, situation: str | None = None, limit: int | None = None, exhaustive: bool = False, complete: bool = False) -> DataFrame:
         """search(), scoring only candidates unless exhaustive.
@@ -228,7 +236,7 @@ class PhraseIndex:
         """
         query = parse_query(text)
         if exhaustive or query.blank or not query.tokens:
-            return search(self.rows, text, situation, limit)
+            return search(self.rows, text, situation, limit, limit is None and self.size <= MOST_SORTED)
         rows, few = self._complete_pool(query) if complete else self._pool(query)
         return search(rows, text, situation, limit, few)
 
