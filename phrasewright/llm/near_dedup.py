@@ -203,7 +203,7 @@ def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     cells = cells.repartition(*keys).sortWithinPartitions(*keys, "role")
 
     def cell(members: list, probing: list) -> Iterator[pa.RecordBatch]:
-        if not probing:
+        if not members or not probing:  # blocks are dealt by hash: few texts leave some without any
             return
         sets = [np.frombuffer(m[2], U) for m in members]
         size, component = np.array([len(x) for x in sets]), np.array([m[1] for m in members])

@@ -72,6 +72,21 @@ def test_near_links_that_no_star_has(spark):
     assert got == {d: c for d, (_, c) in brute.near(rows).items()} and sum(d != c for d, c in got.items()) >= 100
 
 
+@pytest.mark.parametrize(("words", "n", "block"), [(12_000, 8, None), (200, 30, 1000)])
+def test_near_in_groups_that_leave_cells_without_texts(spark, monkeypatch, words, n, block):
+    """Three texts are dealt into two blocks by their length, or into eight where blocks are small: some blocks hold none, and no link is lost."""
+    if block:
+        monkeypatch.setattr("phrasewright.llm.near_dedup.BLOCK", block)
+    r, rows = random.Random(9), []
+    for i in range(n):
+        w = [f"f{i}w{r.randrange(10**6)}" for _ in range(words)]
+        far, near = w[: words * 3 // 4] + [f"f{i}o{k}" for k in range(words // 4)], w[: words * 49 // 50] + [f"f{i}n{k}" for k in range(words // 50)]
+        rows += [(3 * i + k, " ".join(x)) for k, x in enumerate((far, w, near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(df).collect()}
+    assert got == brute.near(rows) and sum(d != c for d, (_, c) in got.items()) == n
+
+
 def test_unlike_texts_with_common_parts_are_not_compared(spark):
     """Work on texts that share a third of their words grows as they do: few of them share a key."""
     from phrasewright.llm.common import materialise
