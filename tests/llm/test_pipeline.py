@@ -1,4 +1,5 @@
 import os
+import random
 
 import numpy as np
 import public_tokenizers
@@ -82,3 +83,14 @@ def test_stages_on_odd_rows(spark):
     assert left == {(3, word("x")), (None, word("y") + " [SECRET]"), (5, rows[6][1]), (6, word("q")), (7, rows[8][1])} and docs.where("doc_id = 3").count() == 2
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.where("doc_id is null").count() == 1 and corpus_pipeline.STAGES[-1][1](spark, empty, DATA).count() == 0
+
+
+def test_near_dedup_of_few_long_texts(spark):
+    """Groups of three texts whose length spreads them over two blocks, of which one may stay empty."""
+    r, rows = random.Random(9), []
+    for i in range(8):
+        w = [f"f{i}w{r.randrange(10**6)}" for _ in range(12_000)]
+        rows += [(3 * i, " ".join(w[:9_000] + [f"f{i}o{k}" for k in range(3_000)])), (3 * i + 1, " ".join(w)), (3 * i + 2, " ".join(w[:11_760] + [f"f{i}n{k}" for k in range(240)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = dict(map(tuple, corpus_pipeline.near_dedup(spark, docs, DATA).collect()))
+    assert out == {d: t for d, t in rows if d % 3 < 2}
