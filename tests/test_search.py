@@ -1,7 +1,7 @@
 import pytest
 
 from phrasewright.functions.query_text import parse_query
-from phrasewright.operators.rows import index_rows, strip
+from phrasewright.operators.rows import index_rows, spread, strip
 from phrasewright.operators.search import PhraseIndex, batch_search, ranked, search
 
 from . import plain
@@ -122,3 +122,22 @@ def test_gram_counts_are_read_once(keyed, monkeypatch):
 def test_a_head_needs_no_exchange(keyed):
     plan = search(keyed, "red wiget", limit=10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.split("InMemoryRelation")[0]
+
+
+def test_keys_are_computed_once_for_a_row(spark):
+    rows = index_rows(spark.createDataFrame([(1, "red bolt")], "idx long, hindi string"), compose=False)
+    once = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    assert once(search(rows, "smal promo gear")) == once(search(rows, "gear")) == once(rows.select("idx", "rom", "rom_words"))
+
+
+def test_ranges_of_the_order_are_sampled_from_scored_rows(keyed):
+    plan = search(keyed, "red wiget")._jdf.queryExecution().sparkPlan().toString().split("InMemoryRelation")[0]
+    assert plan.index("Sort") < plan.index("REPARTITION") < plan.index("Filter")
+
+
+def test_a_file_of_one_piece_is_dealt_over_the_cores(spark, tmp_path):
+    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    dealt = spread(scan, "id")
+    assert dealt.rdd.getNumPartitions() == 24 and sorted(r["id"] for r in dealt.collect()) == list(range(1000))
+    assert spread(spark.range(0, 1000, 1, 50), "id").rdd.getNumPartitions() == 50
