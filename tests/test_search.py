@@ -141,3 +141,15 @@ def test_a_file_of_one_piece_is_dealt_over_the_cores(spark, tmp_path):
     dealt = spread(scan, "id")
     assert dealt.rdd.getNumPartitions() == 24 and sorted(r["id"] for r in dealt.collect()) == list(range(1000))
     assert spread(spark.range(0, 1000, 1, 50), "id").rdd.getNumPartitions() == 50
+
+
+def test_postings_of_one_gram_are_dealt_over_several_files(spark, keyed, tmp_path):
+    # the session's own sizes would put so little into one file
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = index_rows(spark.range(2000).selectExpr("id as idx", "'bolt' as hindi"), compose=False)
+        saved = PhraseIndex.build(same).save(str(tmp_path / "index"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = saved.postings.where("side = 'rom' and gram = 'bol'")
+    assert held.count() == 2000 and len({r[0] for r in held.selectExpr("input_file_name()").distinct().collect()}) > 1
