@@ -1,5 +1,6 @@
 import pytest
 
+from phrasewright.functions.text import SPACES
 from phrasewright.operators.templates import expand
 from phrasewright.sources.csv import parse_rows, read_sheet, read_sheet_strict
 from phrasewright.sources.synthetic import Draws, corpus_of, made_up_nouns, noun_table
@@ -41,6 +42,26 @@ def test_plain_sheet(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [("1", 'x "y"'), ("2", "")]
 
 
+@pytest.mark.parametrize("size", ["7", "40", "1000"])
+def test_a_sheet_in_pieces_is_the_sheet(spark, tmp_path, size):
+    cells = ['plain', '"quoted, ""twice"""', '"two\nlines"', '"\n\n"', 'x"1,2"y', '', '"carriage\rreturn"', '"a long\ncell over\nmany, many\nlines and\npieces"', 'क़लम ']
+    ends = ["\n", "\r\n", "\r", "\n , \n"]
+    text = "\n\ufeffa,b\n" + "".join(f"{cells[i % 9]},{i}{ends[i // 9 % 4]}" for i in range(150)) + '"open,\nto\nthe end of\nthe whole\nfile\n'
+    path = write(tmp_path / "a.csv", text)
+    want = [tuple(c.strip(SPACES) for c in [*r, ""][:2]) for r in parse_rows(text)][1:]
+    confs = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "0"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        df = read_sheet_strict(spark, path)
+        assert df.rdd.getNumPartitions() > 1  # a file was one task's work
+        got = [tuple(r) for r in df.orderBy("ord").select("ord", "a", "b").collect()]
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    assert got == [(i, *r) for i, r in enumerate(want, 1)]
+
+
 PATTERNS = [
     (1, "p1", "{X} बड़ा", "{X} बड़ी", "", "{X} मोठा", "{X} मोठी", "{X} मोठे", "big {X}, {X}", "direct", "thing|thing", ""), (2, "p2", "{X} को", "", "", "{X}ला", "", "", "to {X}", "dative", "", "n"),
     (3, "p3", "{X}", "{X}", "{X}", "", "", "", "never", "direct", "", ""), (4, "p4", "{X} में {X}", "", "", "{X}मध्ये", "", "", None, "oblique", " person ", None),
